@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curatorium.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, quality, secrets, topk
+from curatorium.llm import embedding_dedup, language_id, minhash_dedup, mixing, packing, pii, quality, secrets, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,20 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymised(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = F.transform("entities", lambda e: F.concat_ws(":", e["kind"], e["start"].cast("string"), e["end"].cast("string")))
+    return out.select("doc_id", "text", F.size("entities").cast("bigint").alias("n_entities"), F.array_join(found, ",").alias("entities"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return out.select("doc_id", "n_passages", "n_words", text("passages").alias("passages"), text("repeats").alias("repeats"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_secret_scans, op2_quality_classifier, op3_minhash_near_dedup, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_source_mixing, op8_language_id)
+    for f in (op1_secret_scans, op2_quality_classifier, op3_minhash_near_dedup, op4_exact_topk, op5_packing, op6_embedding_near_dedup, op7_source_mixing, op8_language_id, op9_pii_surrogates, op10_substring_dedup)
 }
 ORACLES: dict[str, str] = {}

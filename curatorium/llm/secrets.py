@@ -16,6 +16,8 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curatorium.llm import spans
+
 _MOST = 32  # strings kept exactly while a query is derived
 
 
@@ -134,18 +136,8 @@ def _all(tests) -> Column:
     return out
 
 
-def _spans(rule: Rule, order: int, found: Column, gaps: Column, checked: Column) -> Column:
-    """Spans of a rule's matches: gaps are the texts between the matches, so running sums of lengths give the places."""
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), F.arrays_zip(found.alias("match"), checked.alias("part")), lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m["match"]).alias("long"), F.length(m["part"]).alias("part")))
-    kind = "array<struct<start:int,place:int,end:int,kind:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
-
-    def step(acc, x):
-        start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["long"]
-        one = F.array(F.struct(start.alias("start"), F.lit(order).alias("place"), end.alias("end"), F.lit(rule.kind).alias("kind")))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.when(x["part"] >= rule.least, one).otherwise(F.array().cast(kind))).alias("spans"))
-
-    return F.aggregate(pairs, zero, step, lambda acc: acc["spans"])
+def _at_least(least: int):
+    return lambda part: F.length(part) >= least
 
 
 def scan(docs: DataFrame, rules=RULES) -> DataFrame:
@@ -168,14 +160,15 @@ def scan(docs: DataFrame, rules=RULES) -> DataFrame:
         rows = rows.withColumn(f"_p{k}", F.when(hit, F.split(text, rule.pattern, -1)))
         rows = rows.withColumn(f"_g{k}", F.when(hit, F.regexp_extract_all(text, F.lit(rule.pattern), rule.group))) if rule.group else rows
     for k, rule in enumerate(rules):
-        spans = _spans(rule, k, F.col(f"_m{k}"), F.col(f"_p{k}"), F.col(f"_g{k}" if rule.group else f"_m{k}"))
-        names.append(F.coalesce(F.when(F.size(f"_m{k}") > 0, spans), F.array().cast("array<struct<start:int,place:int,end:int,kind:string>>")))
+        long = F.transform(f"_g{k}", _at_least(rule.least)) if rule.group else None
+        found = spans.spans(rule.kind, k, F.col(f"_m{k}"), F.col(f"_p{k}"), long)
+        names.append(F.coalesce(F.when(F.size(f"_m{k}") > 0, found), spans.none()))
     return rows.select(*docs.columns, F.array_sort(F.concat(*names)).alias("secrets"))
 
 
-def spans_text(spans: Column) -> Column:
+def spans_text(found: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def number(kind: str) -> Column:
@@ -183,22 +176,16 @@ def number(kind: str) -> Column:
     return F.size(F.filter("secrets", lambda s: s["kind"] == F.lit(kind))).cast("bigint")
 
 
-def base_spans(spans: Column, rules=RULES) -> Column:
+def base_spans(found: Column, rules=RULES) -> Column:
     base = [r.kind for r in rules if r.base]
-    return F.filter(spans, lambda s: s["kind"].isin(base))
+    return F.filter(found, lambda s: s["kind"].isin(base))
 
 
 def masked(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by `mask`; overlapping spans are replaced once. n_chars, if a column, is counted anew."""
+    """docs with every secret in text replaced by `mask`; of overlapping spans the first is replaced. n_chars, if a column, is counted anew."""
     rows = scan(docs, rules)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        gap = F.when(s["start"] > acc["at"], F.col("text").substr(acc["at"] + 1, s["start"] - acc["at"])).otherwise(F.lit(""))
-        sign = F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], gap, sign).alias("out"))
-
-    built = F.aggregate("secrets", start, step, lambda acc: F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.length("text"))))
+    changes = F.transform("secrets", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("new")))
+    built = spans.rebuilt(F.col("text"), changes)
     rows = rows.withColumn("text", F.when(F.size("secrets") > 0, built).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
