@@ -6,9 +6,11 @@ i - SKETCH from all shingles, so every coordinate fills after at most 2 * SKETCH
 a probability equal to their Jaccard similarity. BANDS bands of SKETCH / BANDS coordinates name buckets; pairs that meet in
 a bucket are confirmed on their full shingle sets.
 
-Texts with equal sets are one class before banding. In a bucket, every class is first compared with the bucket's smallest class; the
-links so confirmed are closed to components, and only classes of different components that still share a
-bucket are compared with one another. No pair inside one component is needed for the result, and no pair across components is left out.
+Texts with equal sets are one class before banding. Every class is first compared with the smallest class (the lead) of each of its buckets, and
+the links so confirmed are closed to components. Classes that share a bucket share its lead, so what is left to compare are members of
+one lead's group that lie in different components; a group meets in pairs of blocks, each in a task group of its own, which
+returns links only. Jaccard distance is a metric, so members whose distances from the lead differ by more than the
+allowed distance are not compared. No pair inside one component is needed for the result, and no pair across components is left out.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from curatorium.llm.shared import components, written
 WIDTH = 5
 PERCENT = 75
 SKETCH = 128
+BLOCK = 512  # members of a group that meet in a task, and their shingles
+BLOCK_SHINGLES = 400_000
 BANDS = 32  # of 4 coordinates: a pair of similarity 0.75 meets in no bucket with probability (1 - 0.75**4)**32 < 1e-5
 
 _BIN_SHIFT = np.uint64(64 - 7)
@@ -90,32 +94,70 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _common(left: np.ndarray, right: np.ndarray) -> int:
+    small, large = (left, right) if len(left) < len(right) else (right, left)
+    return int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(large) else 0
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, text_a, text_b) to the links (a, b) whose full sets reach PERCENT."""
+    """Rows (a, b, text_a, text_b), neighbours often sharing a, to (a, b, distance, linked) by the full sets."""
     for batch in batches:
-        keep, last, left = [], None, None
+        if not batch.num_rows:
+            continue
         ids, texts = batch.column("a").to_pylist(), batch.column("text_a")
         news = [k for k, x in enumerate(ids) if not k or x != ids[k - 1]]
         lefts = hashing.shingle_sets(texts.take(pa.array(news, pa.int64())), WIDTH)
+        distance, linked, last, left = [], [], None, None
         for a, right in zip(ids, hashing.shingle_sets(batch.column("text_b"), WIDTH), strict=True):
             if left is None or a != last:
                 last, left = a, next(lefts)
-            small, large = (left, right) if len(left) < len(right) else (right, left)
-            if 100 * len(small) < PERCENT * len(large):
-                keep.append(False)
-                continue
-            common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(large) else 0
-            keep.append(100 * common >= PERCENT * (len(left) + len(right) - common) and common > 0)
-        kept = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        if kept.num_rows:
-            yield kept
-
-
-def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Confirmed links among pairs (a, b) of class ids; a may be hot, b is not."""
-    rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    rows = rows.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    return written(rows.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long"))
+            common = _common(left, right)
+            union = len(left) + len(right) - common
+            distance.append(1 - common / max(1, union))
+            linked.append(common > 0 and 100 * common >= PERCENT * union)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(distance), pa.array(linked, pa.bool_())], names=["a", "b", "distance", "linked"])
+
+
+def _across(key: tuple, table: pa.Table) -> pa.Table:
+    """Links between members of different components within a block of a group, or between its blocks left and right."""
+    _, left, right = (x.as_py() for x in key)
+    sets = list(hashing.shingle_sets(table.column("text").combine_chunks(), WIDTH))
+    ids, component, main, distance, block = (table.column(c).to_numpy() for c in ("id", "component", "main", "distance", "block"))
+    size = np.array([len(x) for x in sets])
+    vocabulary, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(code, kind="stable")
+    owner, start = owner[order], np.searchsorted(code[order], np.arange(len(vocabulary) + 1))
+    begin = np.concatenate(([0], np.cumsum(size)))
+    slack = 1 - PERCENT / 100 + 1e-9
+    a, b = [], []
+    for x in np.flatnonzero(component != main):
+        near = (component != component[x]) & (np.abs(distance - distance[x]) <= slack) & (100 * np.minimum(size, size[x]) >= PERCENT * np.maximum(size, size[x]))
+        near &= (block == right) if block[x] == left else (block == left)
+        near &= (component == main) | (ids > ids[x])
+        if not near.any():
+            continue
+        own = code[begin[x] : begin[x + 1]]
+        count = start[own + 1] - start[own]
+        at = np.repeat(start[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        common = np.bincount(owner[at], minlength=len(sets))
+        for y in np.flatnonzero(near & (100 * common >= PERCENT * (size + size[x] - common))):
+            a.append(ids[x])
+            b.append(ids[y])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _rest(grouped: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Links across components in the groups (lead, id, distance, n_shingles) of the leads."""
+    placed = grouped.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = placed.join(found.select(F.col("id").alias("lead"), F.col("component").alias("main")), "lead", "left").withColumn("main", F.coalesce("main", "lead"))
+    placed = written(placed)
+    apart = placed.groupBy("lead").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"), F.count_if(F.col("component") != F.col("main")).alias("apart")).where("apart > 0 and members > 1")
+    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    rows = placed.join(apart.select("lead", blocks.alias("blocks")), "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("lead", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "main", "distance").join(texts, "id")
+    return written(rows.groupBy("lead", "left", "right").applyInArrow(_across, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,19 +175,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = classes.select("id", F.explode("bands").alias("bucket"))
     leaders = entries.groupBy("bucket").agg(F.min("id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("bucket", "lead")
     shared = written(entries.join(leaders, "bucket"))
-    met = written(shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
+    met = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     texts = written(docs.select(F.col("doc_id").alias("id"), "text").join(shared.select("id").distinct(), "id", "left_semi"))
-    links = _links(met, texts)
+    pairs = met.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    pairs = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")  # a may be hot, b is not
+    tested = written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, distance double, linked boolean"))
+    links = tested.where("linked").select("a", "b")
     found = components(links)
-    placed = shared.join(found, "id", "left").select("bucket", "id", "lead", F.coalesce("component", "id").alias("component"))
-    placed = placed.join(found.select(F.col("id").alias("lead"), F.col("component").alias("main")), "lead", "left").withColumn("main", F.coalesce("main", "lead"))
-    placed = written(placed)
-    apart = placed.where("component <> main").select("bucket", F.col("id").alias("b"), F.col("component").alias("b_component"))
-    rest = placed.where("id <> lead").join(apart, "bucket").where("component <> b_component and (component = main or id < b)")
-    rest = rest.select(F.col("id").alias("a"), "b").distinct().join(met, ["a", "b"], "left_anti")
-    rest = written(rest)
-    if not rest.isEmpty():
-        found = components(links.unionByName(_links(rest, texts)))
+    grouped = tested.select(F.col("a").alias("lead"), F.col("b").alias("id"), "distance").join(classes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), "id")
+    more = _rest(grouped, texts, found)
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
     by_class = classes.select("low", "high", "n_shingles", "id").join(found, "id", "left").select("low", "high", "n_shingles", F.coalesce("component", "id").alias("component_id"))
     out = marks.join(by_class, ["low", "high", "n_shingles"], "left")
     alone = F.col("n_shingles") == 0
