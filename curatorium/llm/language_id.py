@@ -115,24 +115,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     score is the cosine with the nearest centroid. A text that is null or has no letter gives `und`, 0 and true, as does every text where no language was learnt.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BINS * 4 bytes for each centroid
+    shared = docs.sparkSession.sparkContext.broadcast((model.idf, model.langs, model.centroids, model.least))  # BINS * 4 bytes for each centroid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        langs = np.array([*m.langs, UNKNOWN], dtype=object)
+        idf, learnt, centroids, lowest = shared.value
+        langs = np.array([*learnt, UNKNOWN], dtype=object)
         for batch in batches:
             best, near = [], []
             for _, raw, off in hashing.chunks(batch.column("text")):
                 for a in range(0, len(off) - 1, 256):
                     own = off[a : a + 257]
-                    close = vectors(raw[own[0] : own[-1]], own - own[0], m.idf) @ m.centroids.T
-                    at = np.argmax(close, axis=1) if len(m.langs) else np.zeros(len(own) - 1, np.int64)
+                    close = vectors(raw[own[0] : own[-1]], own - own[0], idf) @ centroids.T
+                    at = np.argmax(close, axis=1) if learnt else np.zeros(len(own) - 1, np.int64)
                     near.append(at)
-                    best.append(close[np.arange(len(at)), at] if len(m.langs) else np.zeros(len(at)))
+                    best.append(close[np.arange(len(at)), at] if learnt else np.zeros(len(at)))
             near = np.concatenate(near) if near else np.zeros(0, np.int64)
             best = np.clip(np.concatenate(best) if best else np.zeros(0), 0, 1).astype(np.float64)
-            known = batch.column("has_letter").to_numpy(zero_copy_only=False) & (len(m.langs) > 0)
-            least = np.append(m.least, 1.0)[near]
+            known = batch.column("has_letter").to_numpy(zero_copy_only=False) & bool(learnt)
+            least = np.append(lowest, 1.0)[near]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.where(known, langs[near], UNKNOWN), pa.string()), pa.array(np.where(known, best, 0.0)), pa.array(~known | (best < least))],
                 names=["doc_id", "lang_pred", "score", "rejected"],

@@ -20,9 +20,10 @@ from curatorium.llm import hashing
 
 BITS = 18
 MAX_TRAIN = 40_000  # rows that training reads, in the mean; all labelled rows where there are fewer
-SHARDS = 8
-PASSES = 3
-ALPHA, BETA, L1, L2 = 0.4, 1.0, 0.002, 0.01
+SHARDS = 8  # learners at most, each of SHARD_ROWS rows at least
+SHARD_ROWS = 2000
+PASSES = 4
+ALPHA, BETA, L1, L2 = 0.8, 1.0, 0.002, 0.001
 _PAIR = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -86,6 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
         return np.zeros((1 << bits) + 1)
     if rows > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * max_rows / rows))
+    shards = max(1, min(shards, int(min(rows, max_rows) // SHARD_ROWS)))
     sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
     sample = sample.withColumn("order", F.xxhash64("doc_id", F.lit(6))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
     learnt = sample.groupBy("shard").applyInPandas(_learn(passes, bits), "bin long, weight double")
