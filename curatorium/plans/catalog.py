@@ -1,4 +1,7 @@
-"""The registered queries and the SQL that states the same results."""
+"""The registered queries and the SQL that states the same results.
+
+Each module of this package adds its queries to QUERIES and, where SQL can express them, the same results in DuckDB's SQL to ORACLES.
+"""
 
 from __future__ import annotations
 
@@ -6,5 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from curatorium.plans import records, serving, web
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**web.QUERIES, **serving.QUERIES, **records.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES, **serving.ORACLES, **records.ORACLES}
