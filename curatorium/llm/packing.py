@@ -10,7 +10,9 @@ another's rows. The stream is cut into windows of `window` tokens.
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -29,7 +31,7 @@ QUANTUM = 256
 END = 2
 MAX_QUEUES = 4096  # with more sources than this, sources share this many queues
 MAX_BROADCAST_ROWS = 200_000  # of the table of offsets (24 bytes a row); a larger one is joined by a shuffle
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_000_000
 _EXACT = 1 << 30
 
 
@@ -37,31 +39,52 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A Latin word, perhaps with ASCII signs behind it: its ids are those of the word in lower case and those of the signs.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 def encoder(path: str):
-    """A function from a list of texts' bytes to a list of their ids (little-endian, two bytes each, or four if the vocabulary needs them).
+    """(encode, kind): a function from a list of texts' bytes to a list of their ids' bytes, and the ids' type (two bytes, or four if the vocabulary needs them).
 
     Ids are those of the whole text: ASCII white space always ends a token and no normalisation crosses it, so each
-    run between white space is encoded once and remembered.
+    run between white space is encoded once and remembered, and most runs are put together from known words and signs.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+    kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+    folds = tokenizer.encode("Ab", add_special_tokens=False).ids == tokenizer.encode("ab", add_special_tokens=False).ids
+    parted = tokenizer.encode("ab.,", add_special_tokens=False).ids == [i for x in ("ab", ".,") for i in tokenizer.encode(x, add_special_tokens=False).ids]
+    parts: dict[str, bytes] = {"": b""}
     known: dict[bytes, bytes] = {}
 
+    def learn(new: list[str]) -> None:
+        found = [e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        ends = np.cumsum([0, *map(len, found)]) * kind.itemsize
+        data = np.fromiter(itertools.chain.from_iterable(found), dtype=kind, count=int(ends[-1]) // kind.itemsize).tobytes()
+        ends = ends.tolist()
+        parts.update(zip(new, map(data.__getitem__, map(slice, ends, ends[1:])), strict=False))
+
     def encode(texts: list[bytes]) -> list[bytes]:
         split = [x.split() for x in texts]
-        new = list(set().union(*split).difference(known)) if split else []
+        new = set().union(*split).difference(known)
         if len(known) + len(new) > _WORDS_KEPT:
             known.clear()
-            new = list(set().union(*split))
-        found = tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False)
-        known.update((x, np.array(e.ids, dtype=kind).tobytes()) for x, e in zip(new, found, strict=True))
+            parts.clear()
+            parts[""] = b""
+            new = set().union(*split)
+        plain = {}
+        for x in new:
+            run = x.decode()
+            m = _PLAIN.fullmatch(run) if folds and parted else None
+            plain[x] = (m[1].lower(), m[2]) if m else (run, "")
+        learn(list({y for pair in plain.values() for y in pair}.difference(parts)))
+        known.update((x, parts[word] + parts[signs]) for x, (word, signs) in plain.items())
         return [b"".join(map(known.__getitem__, x)) for x in split]
 
-    return encode, np.dtype(kind)
+    return encode, kind
 
 
 def _tokenise(path: str):
@@ -70,7 +93,7 @@ def _tokenise(path: str):
         end = np.array([END], dtype=kind).tobytes()
         task, before = TaskContext.get().partitionId(), {}
         for batch in batches:
-            for first, raw, off in hashing.chunks(batch.column("text")):
+            for first, raw, off in hashing.chunks(batch.column("text"), 1 << 22):
                 part, data = batch.slice(first, len(off) - 1), raw.tobytes()
                 ids = [x + end for x in encode([data[a:b] for a, b in zip(off, off[1:])])]
                 tokens = [len(x) // kind.itemsize for x in ids]
