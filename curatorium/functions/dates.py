@@ -14,20 +14,32 @@ def western(c: Column, eras=("令和", "平成")) -> Column:
     """Era years as Western years, with ASCII digits: 令和元年 is 2019年. The text is cut at each era year and put together again with the year computed."""
     out = text.ascii_digits(c)
     for era in eras:
-        pattern = f"{era}(?:元|[0-9]+)年"
-        years = F.transform(F.regexp_extract_all(out, F.lit(f"{era}(元|[0-9]+)年"), 1), lambda y, base=ERAS[era]: _year(y, base))
-        gaps = F.split(out, pattern, -1)
-        out = F.when(F.size(years) > 0, F.concat_ws("", F.flatten(F.zip_with(gaps, years, lambda g, y: F.array(g, F.coalesce(y, F.lit(""))))))).otherwise(out)
+        out = text.bound(out, _without(era, ERAS[era]))
     return out
 
 
+def _without(era: str, base: int):
+    """A function that writes the years of one era as Western ones."""
+
+    def f(t: Column) -> Column:
+        years = F.transform(F.regexp_extract_all(t, F.lit(f"{era}(元|[0-9]+)年"), 1), lambda y: _year(y, base))
+        gaps = F.split(t, f"{era}(?:元|[0-9]+)年", -1)
+        joined = F.concat_ws("", F.flatten(F.zip_with(gaps, years, lambda g, y: F.array(g, F.coalesce(y, F.lit(""))))))
+        return F.when(F.contains(t, F.lit(era)), joined).otherwise(t)
+
+    return f
+
+
 def _year(y: Column, base: int) -> Column:
     return F.concat((F.when(y == "元", F.lit(1)).otherwise(F.try_to_number(y, F.lit("9999999999")).cast("bigint")) + F.lit(base)).cast("string"), F.lit("年"))
 
 
 def in_text(c: Column, today: Column) -> Column:
     """All dates of a text: [year 年] month 月 day, a year carried on to later dates without one (the first ones are of today's year), then dates in digits. Days past a month's end run on into the next."""
-    flat = western(c)
+    return text.bound(western(c), lambda flat: _in_western(flat, today))
+
+
+def _in_western(flat: Column, today: Column) -> Column:
     spoken = F.regexp_extract_all(flat, F.lit(r"(?:[0-9]{4}年)?[0-9]{1,2}月[0-9]{1,2}"), 0)
     zero = F.struct(F.year(today).alias("year"), F.array().cast("array<date>").alias("found"))
 
@@ -54,9 +66,15 @@ def iso_or_null(c: Column) -> Column:
 
 def period(c: Column) -> Column:
     """struct(start, end, open_ended) of a period text, ISO texts: open-ended words give the first date only; two dates or more give the first and the last; a range may leave out the second year; one date is the end."""
-    flat = text.collapsed(F.translate(western(c), "〜~－―ー", "～～---"))
+    return text.bound(text.collapsed(F.translate(western(c), "〜~－―ー", "～～---")), _period)
+
+
+def _period(flat: Column) -> Column:
     shape = r"20[0-9]{2}年\s*[0-9]{1,2}月\s*[0-9]{1,2}"
-    found = F.transform(F.regexp_extract_all(flat, F.lit(shape), 0), _iso)
+    return text.bound(F.transform(F.regexp_extract_all(flat, F.lit(shape), 0), _iso), lambda found: _spread(flat, shape, found))
+
+
+def _spread(flat: Column, shape: str, found: Column) -> Column:
     first, last = F.try_element_at(found, F.lit(1)), F.try_element_at(found, F.lit(-1))
     tail = F.regexp_extract(flat, rf"{shape}日?.{{0,40}}(?:から|より|～|-).{{0,40}}?([0-9]{{1,2}}月\s*[0-9]{{1,2}})", 1)
     ranged = F.when(tail != "", _iso(F.concat(F.substring(first, 1, 4), F.lit("年"), tail)))
@@ -72,7 +90,10 @@ def _iso(m: Column) -> Column:
 
 def deadline(c: Column) -> Column:
     """Latest full date of a period text, null where it is open-ended or has none."""
-    flat = western(text.collapsed(c), ("令和",))
+    return text.bound(western(text.collapsed(c), ("令和",)), _last_day)
+
+
+def _last_day(flat: Column) -> Column:
     found = F.transform(F.regexp_extract_all(flat, F.lit(r"20[0-9]{2}[年/.-]\s*[0-9]{1,2}[月/.-]\s*[0-9]{1,2}"), 0), lambda m: _run_on(*[F.element_at(F.regexp_extract_all(m, F.lit("[0-9]+"), 0), i).cast("int") for i in (1, 2, 3)]))
     return F.when(~flat.rlike("随時|予算上限|上限に達するまで|通年|年度中"), F.array_max(found))
 

@@ -68,14 +68,19 @@ def all_safe(c: Column) -> Column:
     both = F.zip_with(
         F.regexp_extract_all(flat, F.lit(rf"{n}万\s*([0-9][0-9,]*)\s*千\s*円?"), 1), F.regexp_extract_all(flat, F.lit(rf"{n}万\s*([0-9][0-9,]*)\s*千\s*円?"), 2), lambda a, b: clean(a) * 10_000 + clean(b) * 1_000
     )
-    one = [F.transform(F.regexp_extract_all(flat, F.lit(n + unit), 1), lambda x, f=factor: clean(x) * F.lit(f)) for unit, factor in (("万円", 10_000), ("千円", 1_000), ("円", 1))]
+    times = lambda factor: lambda x: clean(x) * factor
+    one = [F.transform(F.regexp_extract_all(flat, F.lit(n + unit), 1), times(factor)) for unit, factor in (("万円", 10_000), ("千円", 1_000), ("円", 1))]
     return F.filter(F.transform(F.concat(both, *one), int4), lambda x: x.isNotNull())
 
 
 def sanitised(value: Column, amount_text: Column) -> Column:
     """struct(amount, before, reason): vouchers and unit prices give no amount, and the text's largest amount overrides the stored one."""
-    before, t = int4(value.cast("double")), F.trim(F.coalesce(amount_text, F.lit("")))
-    found, voucher = F.array_max(all_safe(t)), t.rlike(lexicon.VOUCHER)
+    t = F.trim(F.coalesce(amount_text, F.lit("")))
+    return text.bound(F.array_max(all_safe(t)), lambda found: _sanitised(value, t, found))
+
+
+def _sanitised(value: Column, t: Column, found: Column) -> Column:
+    before, voucher = int4(value.cast("double")), t.rlike(lexicon.VOUCHER)
     fixed = found.isNotNull() & ~found.eqNullSafe(before)
     reason = (
         F.when(voucher, "voucher_or_unit_amount")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from curatorium.functions import dates, lexicon
+from curatorium.functions import dates, lexicon, text
 
 
 def by_instants(start: Column, end: Column, period_text: Column, now: Column) -> Column:
@@ -22,7 +22,10 @@ def by_instants(start: Column, end: Column, period_text: Column, now: Column) ->
 def by_text(status: Column, period_text: Column, start: Column, end: Column, today: Column) -> Column:
     """struct(status, start, end) from the period text first and stored ISO dates next; unchanged where nothing decides. today: an ISO text."""
     t = F.trim(F.coalesce(period_text, F.lit("")))
-    p = dates.period(t)
+    return text.bound(dates.period(t), lambda p: _by_period(status, t, p, start, end, today))
+
+
+def _by_period(status: Column, t: Column, p: Column, start: Column, end: Column, today: Column) -> Column:
     s, e = F.coalesce(p["start"], dates.iso_or_null(start)), F.coalesce(p["end"], dates.iso_or_null(end))
     bad, closed = t.rlike(lexicon.BAD_PERIOD), t.rlike(lexicon.CLOSED)
     open_now = p["open_ended"] | ((s <= today) & (today <= e)) | (s.isNull() & (today <= e))
@@ -39,7 +42,10 @@ def by_text(status: Column, period_text: Column, start: Column, end: Column, tod
 
 def is_expired(c: Column, today: Column) -> Column:
     """Whether a deadline text lies before today. Without a date, years up to 2025 count as past; one date that only opens a period never expires."""
-    found, flat = dates.in_text(c, today), dates.western(c)
+    return text.bound(F.struct(dates.in_text(c, today).alias("found"), dates.western(c).alias("flat")), lambda x: _expired(c, x["found"], x["flat"], today))
+
+
+def _expired(c: Column, found: Column, flat: Column, today: Column) -> Column:
     opens = flat.rlike("開始|より|から|以降") & ~flat.rlike("まで|締切|必着")
     return (
         F.when(F.coalesce(c, F.lit("")).isin("", "不明", "未定") | F.contains(c, F.lit("随時")), False)
@@ -57,7 +63,10 @@ def is_closed(end: Column, period_text: Column, status: Column, today: Column) -
 
 def sort_millis(end: Column, period_text: Column, today: Column) -> Column:
     """Milliseconds to sort deadlines by: open and unknown ones last, unreadable ones just before them, texts of past years first."""
-    found = dates.in_text(period_text, today)
+    return text.bound(dates.in_text(period_text, today), lambda found: _millis(end, period_text, found))
+
+
+def _millis(end: Column, period_text: Column, found: Column) -> Column:
     late = F.coalesce(period_text, F.lit("")).isin("", "不明", "未定") | F.contains(period_text, F.lit("随時"))
     millis = lambda d: F.unix_date(d).cast("bigint") * 86_400_000
     return F.when(end.isNotNull(), millis(end)).when(late, F.lit(9999999999999)).when(F.size(found) > 0, millis(F.array_max(found))).when(dates.western(period_text).rlike(lexicon.EXPIRED_YEARS), F.lit(0)).otherwise(F.lit(9999999999998))

@@ -15,6 +15,11 @@ WHITE = "[\\s\u00a0\u3000]"
 FULL_DIGITS = "０１２３４５６７８９"
 
 
+def bound(c: Column, f) -> Column:
+    """f of c, with c evaluated once however often f uses it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def tight(c: Column) -> Column:
     """Without white space, the ideographic space included; null counts as empty."""
     return F.regexp_replace(F.coalesce(c, F.lit("")), f"{WHITE}+", "")

@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, bits: int = BITS, max_rows: int =
     if rows > max_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * max_rows / rows))
     shards = max(1, min(shards, int(min(rows, max_rows) // SHARD_ROWS)))
-    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(known, "doc_id")
+    sample = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # some max_rows rows of 12 bytes
     sample = sample.withColumn("order", F.xxhash64("doc_id", F.lit(6))).withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
     learnt = sample.groupBy("shard").applyInPandas(_learn(passes, bits), "bin long, weight double")
     mean = learnt.groupBy("bin").agg((F.sum("weight") / shards).alias("weight")).toPandas()  # 2**bits + 1 rows at most
