@@ -129,10 +129,10 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy duplicate groups of parts: titles made of brand, name and number, external ids shared by some."""
     parts = table(spark, sf_dir, "part")
-    key = F.col("p_partkey")
+    key, block = F.col("p_partkey"), F.floor(F.col("p_partkey") / 12)  # a programme and its copies
     rows = parts.select(
-        key.alias("id"), key.alias("seq"), F.when(key % 10 == 0, F.concat(F.lit("x"), F.floor(key / 20))).alias("ext"), F.array(F.concat(F.lit("a.jp/"), F.floor(key / 3))).alias("urls"),
-        dedupe.title_key(F.concat("p_brand", F.lit(" "), "p_name", F.lit("補助金"), F.floor(key / 7))).alias("title"), dedupe.loose_key(F.col("p_brand")).alias("org"), dedupe.loose_key(F.col("p_type")).alias("region"),
+        key.alias("id"), key.alias("seq"), F.when(key % 4 == 0, F.concat(F.lit("x"), block)).alias("ext"), F.array(F.concat(F.lit("a.jp/"), block, F.lit("/"), F.floor(key % 12 / 3))).alias("urls"),
+        dedupe.title_key(F.concat(F.format_string("%08d", block), "p_brand", F.lit(" "), "p_name", F.lit("補助金"))).alias("title"), dedupe.loose_key(F.col("p_brand")).alias("org"), dedupe.loose_key(F.col("p_type")).alias("region"),
     )
     return dedupe.fuzzy_groups(rows)
 

@@ -16,8 +16,24 @@ _FLAGS = ("has_trailing_slash", "is_http", "is_www", "is_index_html", "has_doubl
 _PATH = r"CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) END"
 _HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
 _ROUTES = " ".join(f"WHEN starts_with(low, '{prefix}') THEN '{name}'" for name, prefix in lexicon.ROUTES)
+#: The pages' addresses and, since these follow none of the portal's routes, as many again of its forms as there are parts.
+_FORMS = (
+    ("https://www.portal.example.jp/subsidy/", ""), ("http://portal.example.jp/column/", "/"), ("https://portal.example.jp/area/", "/index.html"), ("https://portal.example.jp/assets/", ".js"), ("https://portal.example.jp/", ".PNG"),
+    ("https://portal.example.jp/search?q=", ""), ("https://portal.example.jp//purpose/", "?a=1"), ("https://portal.example.jp/feature/does-not-exist-", ""), ("portal.example.jp/", ""), ("https://portal.example.jp/other", "/x"), ("https://portal.example.jp/#", ""),
+)
+_CASES = " ".join(f"WHEN {k} THEN {quoted(a)} || p_partkey || {quoted(b)}" for k, (a, b) in enumerate(_FORMS))
+ADDRESSES_SQL = f"SELECT page_id, url FROM pages UNION ALL SELECT 1000000000 + p_partkey, CASE p_partkey % {len(_FORMS)} {_CASES} END FROM part"
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    made = F.element_at(F.array(*[F.concat(F.lit(a), key.cast("string"), F.lit(b)) for a, b in _FORMS]), (key % len(_FORMS) + 1).cast("int"))
+    parts = table(spark, sf_dir, "part").select((key + 1000000000).alias("page_id"), made.alias("url"))
+    return table(spark, sf_dir, "pages").select("page_id", "url").unionByName(parts)
+
+
 REPORT_SQL = f"""
-WITH a AS (SELECT page_id, url, regexp_matches(url, {quoted(urls.VALID)}) AS ok, {_PATH} AS path, lower({_PATH}) AS low, {_HOST} AS host FROM pages),
+WITH a AS (SELECT page_id, url, regexp_matches(url, {quoted(urls.VALID)}) AS ok, {_PATH} AS path, lower({_PATH}) AS low, {_HOST} AS host FROM ({ADDRESSES_SQL})),
 b AS (SELECT *, starts_with(low, '/assets/') OR starts_with(low, '/static/') OR regexp_matches(low, '[^/]\\.(?:{"|".join(lexicon.ASSET_EXTENSIONS)})$') AS asset FROM a),
 c AS (SELECT *, CASE WHEN NOT ok THEN 'invalid-url' WHEN asset THEN 'static-asset' WHEN low = '/' THEN 'top' {_ROUTES} ELSE 'unknown' END AS category, regexp_extract(low, '^/*([^/]+)', 1) AS segment FROM b)
 SELECT page_id, url, category,
@@ -36,7 +52,7 @@ def report(rows: DataFrame) -> DataFrame:
 
 @register("url_report", REPORT_SQL)
 def url_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return report(_addresses(spark, sf_dir))
 
 
 @register("url_top_patterns", f"SELECT pattern, count(*) AS n FROM ({REPORT_SQL}) GROUP BY pattern ORDER BY n DESC, pattern LIMIT 10")
