@@ -1,46 +1,7 @@
-"""Tables that operators write to the folder all executors share, and connected components."""
+"""What the operators share with the rest: written tables and connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from curatorium.operators.graph import components, shared_dir, written
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="curatorium-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write `df` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors and has size statistics."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/curatorium/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def components(links: DataFrame) -> DataFrame:
-    """Connected components of undirected links (a, b): one row (id, component) for each end of a link, with the smallest id reachable.
-
-    Every round takes the smallest label among neighbours and then the label of that label, so labels travel in
-    doubling steps; it ends when a round changes nothing. Self-links and nulls are dropped.
-    """
-    links = links.where("a <> b").select("a", "b")
-    both = written(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("component")))
-    while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = labels.join(near, "id").select("id", F.least("component", "near").alias("low"), F.col("component").alias("was"))
-        low = written(low)
-        step = low.join(low.select(F.col("id").alias("low"), F.col("low").alias("component")), "low").select("id", "component", "was")
-        step = written(step)
-        labels = step.select("id", "component")
-        if step.where("component <> was").isEmpty():
-            return labels
+__all__ = ["components", "shared_dir", "written"]
