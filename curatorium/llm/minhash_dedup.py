@@ -69,7 +69,7 @@ def sketch(values: np.ndarray) -> np.ndarray:
         empty[flat[first]] = False
         break
     for j in np.flatnonzero(empty):
-        out[j] = hashing.mix(values ^ _SEEDS[SKETCH + j]).min() + _SEEDS[SKETCH + j]
+        out[j : j + 1] = hashing.mix(values ^ _SEEDS[SKETCH + j]).min(keepdims=True) + _SEEDS[SKETCH + j]
     return out
 
 

@@ -49,15 +49,14 @@ def _ln_factorial(k: Column) -> Column:
 def rates(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """(source, n_rows, rate): mean repetitions that bring each source to its share of as many rows as docs has. Sources not in targets get none; without targets all get the same share."""
     sizes = docs.groupBy("source").agg(F.count("*").alias("n_rows"))
-    if targets is not None:
-        total = sum(targets.values())
-        table = docs.sparkSession.createDataFrame([(s, w / total) for s, w in targets.items()], "source string, share double")
-        sizes = sizes.join(table.withColumnRenamed("source", "name"), F.col("source").eqNullSafe(F.col("name")), "left").drop("name").fillna(0.0, "share")
-        everything = sizes.agg(F.sum("n_rows").alias("total"))
+    whole = sizes.agg(F.sum("n_rows").alias("rows"), F.count("*").alias("sources")).first()
+    if targets is None:
+        sizes = sizes.withColumn("share", F.lit(1.0 / max(1, whole["sources"])))
     else:
-        everything = sizes.agg(F.sum("n_rows").alias("total"), (1 / F.count("*")).alias("share"))
-    sizes = sizes.crossJoin(F.broadcast(everything))  # one row
-    return sizes.select("source", "n_rows", (F.col("share") * F.col("total") / F.col("n_rows")).alias("rate"))
+        total = sum(targets.values())
+        table = docs.sparkSession.createDataFrame([(s, w / total) for s, w in targets.items()], "name string, share double")
+        sizes = sizes.join(table, F.col("source").eqNullSafe(F.col("name")), "left").drop("name").fillna(0.0, "share")
+    return sizes.select("source", "n_rows", (F.col("share") * (whole["rows"] or 0) / F.col("n_rows")).alias("rate"))
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
