@@ -36,18 +36,19 @@ class Kind:
     form: str
 
 
+# Each expression first looks ahead at what is cheap to test, and then behind.
 # Of overlapping entities the one that starts first stays; of those, the kind listed first.
 KINDS = (
     Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "mail"),
-    Kind("account", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digits"),
-    Kind("card", r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z])", "card"),
-    Kind("phone", r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{1,4}\))?(?:[\x20.-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])", "digits"),
-    Kind("national", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "digits"),
-    Kind("address", rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])", "address"),
-    Kind("given_m", rf"(?<=(?<![\p{{L}}-])(?:{_MALE})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
-    Kind("given_f", rf"(?<=(?<![\p{{L}}-])(?:{_FEMALE})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
-    Kind("given_n", rf"(?<=(?<![\p{{L}}-])(?:{_NEUTRAL})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
-    Kind("family", rf"(?<={_TITLE}(?:{_WORD}\x20){{0,1}}){_WORD}(?!\x20{_WORD})", "name"),
+    Kind("account", r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digits"),
+    Kind("card", r"(?=[0-9]{4})(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z])", "card"),
+    Kind("phone", r"(?=[+(0-9])(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{1,4}\))?(?:[\x20.-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])", "digits"),
+    Kind("national", r"(?=[0-9]{3}-)(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "digits"),
+    Kind("address", rf"(?=[0-9]{{1,3}}\.)(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])", "address"),
+    Kind("given_m", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}-])(?:{_MALE})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
+    Kind("given_f", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}-])(?:{_FEMALE})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
+    Kind("given_n", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}-])(?:{_NEUTRAL})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
+    Kind("family", rf"(?=\p{{Lu}})(?<={_TITLE}(?:{_WORD}\x20){{0,1}}){_WORD}(?!\x20{_WORD})", "name"),
 )
 
 ALPHABETS = (
@@ -84,7 +85,8 @@ def detected(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs
     for k, kind in enumerate(KINDS):
-        rows = rows.withColumn(f"_m{k}", F.regexp_extract_all(text, F.lit(kind.pattern), 0))
+        found = F.regexp_extract_all(text, F.lit(kind.pattern), 0)
+        rows = rows.withColumn(f"_m{k}", F.when(F.contains(text, F.lit("@")), found) if kind.form == "mail" else found)
     for k, kind in enumerate(KINDS):
         rows = rows.withColumn(f"_p{k}", F.when(F.size(f"_m{k}") > 0, F.split(text, kind.pattern, -1)))
     found = []
@@ -213,10 +215,11 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """
     docs = docs.drop("entities", "_text_id", "_doc_id", "_changes")
     text_id = F.xxhash64("text")
-    seen = detected(docs.select("doc_id", "text")).where(F.size("entities") > 0)
-    one = seen.select("doc_id", text_id.alias("_text_id"), F.explode("entities").alias("e"), "text")
-    value = F.substring(F.col("text"), F.col("e.start") + 1, F.col("e.end") - F.col("e.start"))
-    one = one.select("doc_id", "_text_id", F.col("e.start").alias("start"), F.col("e.end").alias("end"), F.col("e.kind").alias("kind"), value.alias("value"))
+    seen = detected(docs.select("doc_id", "text"))
+    value = lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"])
+    # Written before rows without entities are left out: as a filter, the search itself would be run again for each use of its result.
+    seen = written(seen.select("doc_id", text_id.alias("_text_id"), F.transform("entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["kind"].alias("kind"), value(e).alias("value"))).alias("entities")))
+    one = seen.where(F.size("entities") > 0).select("doc_id", "_text_id", F.explode("entities").alias("e")).select("doc_id", "_text_id", "e.*")
     one = written(one.withColumn("canon", canonical(F.col("kind"), F.col("value"))).distinct())
     known = surrogates(one, key)
     new = one.join(known, ["kind", "canon"]).withColumn("new", _rendered(F.col("value"), F.col("kind"), F.col("surrogate")))
