@@ -9,6 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from curatorium.llm import embedding_dedup, queries, topk
+from tests.compare import duck_rows, rows_of
 from tests.llm.tables import no_docs, odd_docs
 
 SMALL = "/root/testdata/sf0.001"
@@ -44,6 +45,12 @@ def test_topk_equals_brute_force(spark, data):
     assert {tuple(r) for r in queries.op4_exact_topk(spark, data).collect()} == best(rows)
 
 
+def test_topk_equals_sql(spark, data):
+    df = queries.op4_exact_topk(spark, data)
+    columns, rows = duck_rows(data, queries.ORACLES["op4_exact_topk"])
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, rows) and rows
+
+
 def test_topk_odd_rows(spark):
     rows = [r for r in ODD if r[0] != 101]
     got = Counter(tuple(r) for r in topk.top_k(odd_vectors(spark, rows)).collect())
