@@ -37,7 +37,8 @@ RULES = (
     # A run's first match of "24 or more" is the whole run, so the length may stand in the expression; likewise for AKIA.
     Rule("access", r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", r"[0-9a-f]{24,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"),
+    # With the key itself, up to its END line, or to the text's end where that line is missing.
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[\s\S]*?(?:-----END [A-Z ]{0,20}PRIVATE KEY-----|(?![\s\S]))"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
     Rule("host_token", r"(?:ghp|gho|ghu|ghs|ghr)_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"(?:xoxb|xoxa|xoxp|xoxr|xoxs)-[A-Za-z0-9-]{10,}"),
@@ -181,10 +182,23 @@ def base_spans(found: Column, rules=RULES) -> Column:
     return F.filter(found, lambda s: s["kind"].isin(base))
 
 
+def _united(found: Column) -> Column:
+    """Spans by start to (start, end), those that overlap made one."""
+    zero = F.array().cast("array<struct<start:int,end:int>>")
+
+    def step(acc, s):
+        last = F.try_element_at(acc, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
+        one = F.struct(s["start"].alias("start"), s["end"].alias("end"))
+        return F.when(s["start"] < last["end"], F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(one)))
+
+    return F.aggregate(found, zero, step)
+
+
 def masked(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every secret in text replaced by `mask`; of overlapping spans the first is replaced. n_chars, if a column, is counted anew."""
+    """docs with every secret in text replaced by `mask`, spans that overlap by one. n_chars, if a column, is counted anew."""
     rows = scan(docs, rules)
-    changes = F.transform("secrets", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("new")))
+    changes = F.transform(_united(F.col("secrets")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("new")))
     built = spans.rebuilt(F.col("text"), changes)
     rows = rows.withColumn("text", F.when(F.size("secrets") > 0, built).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

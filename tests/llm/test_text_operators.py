@@ -77,6 +77,16 @@ def test_secret_mask(spark):
     assert rows[4]["text"] is None and rows[9]["text"] == "one two three"
 
 
+def test_secret_mask_leaves_no_part(spark):
+    """Bodies of private keys go with their headers, and of overlapping spans nothing stays."""
+    body = "MIIEowIBAAKCAQEA7bq+/\nQ2f9=="
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a {key} b", f"a {key}\nb\n{key}", f"a -----BEGIN PRIVATE KEY-----\n{body}", "xoxb-1234567890-token=hunter2secret end", "0123456789abcdef01234567api_key=hunter2secret end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secrets.masked(rows).collect()}
+    assert got == {0: "a [SECRET] b", 1: "a [SECRET]\nb\n[SECRET]", 2: "a [SECRET]", 3: "[SECRET] end", 4: "[SECRET] end"}
+
+
 # Quality
 
 
