@@ -53,7 +53,6 @@ def encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
     folds = tokenizer.encode("Ab", add_special_tokens=False).ids == tokenizer.encode("ab", add_special_tokens=False).ids
     parted = tokenizer.encode("ab.,", add_special_tokens=False).ids == [i for x in ("ab", ".,") for i in tokenizer.encode(x, add_special_tokens=False).ids]

@@ -216,6 +216,20 @@ def test_packing_odd_rows(spark):
     assert packing.pack(no_docs(spark)).count() == 0
 
 
+def test_packing_marks_have_their_ids(spark):
+    """Texts that hold the vocabulary's marks get the ids of the whole text by a tokenizer as it is read."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    marks = [x.content for x in t.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in marks
+    texts = ["end of file.<|endoftext|> next", "<|endoftext|>", "A <|EndOfText|> Naïve<|endoftext|>", *[f"x{m}y {m} {m}{m} Word,{m}\n{m}. {m}\u00a0{m}" for m in marks]]
+    want = [[*t.encode(x, add_special_tokens=False).ids, packing.END] for x in texts]
+    docs = spark.createDataFrame([(k, x, "a") for k, x in enumerate(texts)], "doc_id long, text string, source string")
+    got = packing.pack(docs, window=1 << 20, quantum=1 << 20).collect()
+    assert {(p["doc_id"], p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]) for p in got} == {(k, 0, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes()), len(x)) for k, x in enumerate(want)}
+
+
 def test_packing_keeps_proportions(spark):
     """Every window holds its sources' targets, to a quantum, while no queue has run out."""
     rows = [(k, words(k, 400), None, "ab"[k % 2], 1) for k in range(120)]
