@@ -357,6 +357,30 @@ def test_passages_cover_every_exact_repeat(spark, data):
     assert runs > 1000 and missed == 0
 
 
+def passages_of(spark, rows):
+    docs = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string").repartition(len(rows))
+    one = {r["doc_id"]: r["passages"] for r in substring_dedup.repeated_passages(docs.coalesce(1)).collect()}
+    return one, {r["doc_id"]: r["passages"] for r in substring_dedup.repeated_passages(docs).collect()}
+
+
+def covers(passages, start, stop) -> bool:
+    return any(p["start"] <= start and stop <= p["stop"] for p in passages)
+
+
+def test_passages_at_every_place_of_a_text(spark):
+    """A passage that a text holds twice is found at both places, word for word and nearly, whichever text leads; a text's own repeats are none."""
+    rows = []
+    for k in range(8):
+        p = words(600 + k, 60).split()
+        near = [*p[:30], "other", *p[31:]] if k % 2 else p
+        rows += [(10 * k, f"{words(700 + k, 40)} {' '.join(p)} {words(720 + k, 40)} {' '.join(p)} {words(740 + k, 20)}"), (10 * k + 1, f"{words(760 + k, 30)} {' '.join(near)} {words(780 + k, 30)}")]
+    rows.append((90, f"{words(800, 60)} x {words(800, 60)}"))
+    for got in passages_of(spark, rows):
+        for k in range(8):
+            assert covers(got[10 * k], 40, 100) and covers(got[10 * k], 140, 200) and covers(got[10 * k + 1], 30, 90)
+        assert not got[90]
+
+
 def test_passages_odd_rows(spark):
     rows = substring_dedup.repeated_passages(odd_docs(spark, extra=True)).collect()
     by = {r["doc_id"]: r for r in rows}
