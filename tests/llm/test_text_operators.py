@@ -381,6 +381,16 @@ def test_passages_at_every_place_of_a_text(spark):
         assert not got[90]
 
 
+def test_passages_beside_a_common_line(spark):
+    """Two texts that share more than a line which many hold are found, whoever leads the line."""
+    rows = []
+    for k in range(6):
+        line, more = words(900 + k, 49), words(920 + k, 6)
+        rows += [(100 * k + j, f"{words(10_000 + 100 * k + j, 40)} {line} {more if j in (3, 7) else words(20_000 + 100 * k + j, 6)} {words(30_000 + 100 * k + j, 30)}") for j in range(10)]
+    for got in passages_of(spark, rows):
+        assert all(covers(got[100 * k + j], 40, 95) if j in (3, 7) else not got[100 * k + j] for k in range(6) for j in range(10))
+
+
 def test_passages_odd_rows(spark):
     rows = substring_dedup.repeated_passages(odd_docs(spark, extra=True)).collect()
     by = {r["doc_id"]: r for r in rows}
