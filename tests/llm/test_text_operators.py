@@ -391,6 +391,23 @@ def test_passages_beside_a_common_line(spark):
         assert all(covers(got[100 * k + j], 40, 95) if j in (3, 7) else not got[100 * k + j] for k in range(6) for j in range(10))
 
 
+def test_passages_over_edits(spark):
+    """Near copies of 50 to 100 words at a similarity of 0.75 or more are found whole, wherever their edits stand."""
+    def changed(w, edits):
+        return [f"new{k}" if k in edits else x for k, x in enumerate(w)]
+
+    cases = [(60, [30]), (100, [33, 66]), (56, [27]), (50, [25]), (50, [18]), (75, [25, 50]), (80, [26, 53]), (90, [20, 70]), (64, [21])]
+    rows, wanted = [], {}
+    for k, (n, edits) in enumerate(cases):
+        w = words(40_000 + k, n).split()
+        one, two = shingle_set(" ".join(w)), shingle_set(" ".join(changed(w, edits)))
+        assert len(one & two) / len(one | two) >= 0.75
+        rows += [(2 * k, f"{words(41_000 + k, 50)} {' '.join(w)} {words(42_000 + k, 50)}"), (2 * k + 1, f"{words(43_000 + k, 50)} {' '.join(changed(w, edits))} {words(44_000 + k, 50)}")]
+        wanted[2 * k] = wanted[2 * k + 1] = n
+    for got in passages_of(spark, rows):
+        assert not [(k, n, got[k]) for k, n in wanted.items() if [(p["start"], p["stop"]) for p in got[k]] != [(50, 50 + n)]]
+
+
 def test_passages_odd_rows(spark):
     rows = substring_dedup.repeated_passages(odd_docs(spark, extra=True)).collect()
     by = {r["doc_id"]: r for r in rows}
