@@ -63,13 +63,13 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def chunks(texts: pa.Array, limit: int = _CHUNK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows that hold about `limit` bytes; a longer text stands alone."""
+def chunks(texts: pa.Array, limit: int = _CHUNK_BYTES, most: int = 4096) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of `most` rows or fewer that hold about `limit` bytes; a longer text stands alone."""
     raw, off = text_bytes(texts)
     first, rows = 0, len(off) - 1
     while first < rows:
         last = max(first + 1, int(np.searchsorted(off, off[first] + limit, side="right")) - 1)
-        last = min(last, first + 4096, rows)
+        last = min(last, first + most, rows)
         yield first, raw[off[first] : off[last]], off[first : last + 1] - off[first]
         first = last
 

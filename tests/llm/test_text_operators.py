@@ -184,7 +184,6 @@ def check_packed(spark, docs, pieces, window=packing.WINDOW):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for p in pieces:
         by_doc[p["doc_id"]].append(p)
@@ -230,6 +229,35 @@ def test_packing_marks_have_their_ids(spark):
     assert {(p["doc_id"], p["start"], p["length"], p["ids_crc32"], p["doc_tokens"]) for p in got} == {(k, 0, len(x), zlib.crc32(np.array(x, dtype="<u4").tobytes()), len(x)) for k, x in enumerate(want)}
 
 
+def test_packing_ids_of_mixed_strings():
+    """Ids of strings of letters, signs, digits, marks and spaces of many scripts equal the tokenizer's, in whatever order they are met, for both kinds of vocabulary."""
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    r = random.Random(7)
+    some = [*"abzABZ019éÀßÿ×÷µªº'’.,-_`^~\"$+!?()<>|@\\", "'s", "'LL", "İ", "ı", "ſ", "é", "́", "ﬁ", "日", "本", "я", "Ω", "α", "🙂", " ", "  ", "\t", "\n", "\x0b", "\x0c", "\r", "\x00", "\x1f", "\x85", "\u00a0", "\u3000", "<|endoftext|>", "word", "Word", "THE"]
+    texts = ["".join(r.choice(some) for _ in range(r.randint(0, 30))) for _ in range(4000)] + [None, ""]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        own = packing.Encoder(public_tokenizers.path(name))
+        assert own.by_words == own.plain == (name == "word_bpe_49k.json")
+        for part in (texts, texts[::-1]):
+            ids, count = own.encode(pa.array(part, pa.string()))
+            got = np.split(ids, np.cumsum(count)[:-1])
+            assert [x.tolist() for x in got] == [[*own.tokenizer.encode(x or "", add_special_tokens=False).ids, packing.END] for x in part]
+
+
+def test_packing_many_sources(spark):
+    """Each of very many sources is a queue of its own: a target holds though thousands of others have none."""
+    rows = [(k, words(k % 50, 40), None, "big" if k % 2 else f"s{k}", 1) for k in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    pieces = packing.pack(docs, {"big": 0.75}, quantum=16)
+    share = pieces.groupBy("sequence_id").agg(F.sum("length").alias("all"), F.sum(F.when(F.col("doc_id") % 2 == 1, F.col("length"))).alias("big")).orderBy("sequence_id").collect()
+    most = len(share) * 9 // 16
+    assert most > 50 and all(abs(r["big"] - 3072) <= 512 for r in share[:most]) and all(r["all"] == 4096 for r in share[:-1])
+
+
 def test_packing_keeps_proportions(spark):
     """Every window holds its sources' targets, to a quantum, while no queue has run out."""
     rows = [(k, words(k, 400), None, "ab"[k % 2], 1) for k in range(120)]
