@@ -4,7 +4,7 @@ Every source is a queue of its documents' tokens. A deficit round-robin with a q
 each service adds a queue's weight to its credit, and the queue furthest behind its target is served next.
 For fixed weights that order has a closed form: a quantum whose middle is the queue's token m is due at time m / w. So the stream of all
 queues is the quanta in the order of their times, deficits carried over from window to window and partition to partition, whatever the number
-of queues. Queues of one or a few quanta are put off by a hash of the queue, or all of them would be due at once. Times are cut into buckets of about as many tokens each; with the tokens in each bucket known, every bucket's place in
+of queues. Each queue is put off by up to half a quantum, by its hash, or many small queues would all be due at once. Times are cut into buckets of about as many tokens each; with the tokens in each bucket known, every bucket's place in
 the stream is, and buckets are sorted and cut into windows of `window` tokens apart from one another.
 """
 
@@ -188,7 +188,7 @@ def _quanta(quantum: int, groups: list[tuple[float, float]], buckets: int, whole
             low, high = np.maximum(n * quantum, begin[row]), np.minimum((n + 1) * quantum, (begin + tokens)[row])
             total = batch.column("total").to_numpy()[row]
             off = (hashing.mix(batch.column("queue").to_numpy().view(np.uint64)) >> np.uint64(11)).astype(np.float64)[row] / (1 << 53) - 0.5
-            due = ((n * quantum + np.minimum((n + 1) * quantum, total)) / 2 + off * np.minimum(quantum, total) / -(-total // quantum)) / weight[row]
+            due = ((n * quantum + np.minimum((n + 1) * quantum, total)) / 2 + off * np.minimum(quantum, total)) / weight[row]
             served = sum(t * np.minimum(1.0, due / end) for t, end in groups) / sum(t for t, _ in groups)
             bucket = np.minimum((served * buckets).astype(np.int64), buckets - 1)
             if not whole:
