@@ -94,6 +94,20 @@ def words(raw: np.ndarray, off: np.ndarray, fold: bool = True) -> tuple[np.ndarr
     return hashes, np.searchsorted(starts, off)
 
 
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Polynomial hash of each run of `width` words, from runs of 1, 2, 4, ... words."""
+    many, part, at = len(hashes) - width + 1, hashes, 0
+    out, size = np.zeros(many, dtype=np.uint64), 1
+    while True:
+        if width & size:
+            out += part[at : at + many] * U64(pow(_SHINGLE, at, 1 << 64))
+            at += size
+        if at == width:
+            return out
+        part = part[:-size] + part[size:] * U64(pow(_SHINGLE, size, 1 << 64))
+        size *= 2
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each run of `width` words, index of each text's first run). A text of fewer words has one run, all its words; a text without words none."""
     count = np.diff(first)
@@ -104,9 +118,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
         return out, begin
     with np.errstate(over="ignore"):
         if len(hashes) >= width:
-            rolled = np.zeros(len(hashes) - width + 1, dtype=np.uint64)
-            for k in range(width):
-                rolled += hashes[k : k + len(rolled)] * U64(pow(_SHINGLE, k, 1 << 64))
+            rolled = _rolled(hashes, width)
             long = count >= width
             take = np.ones(int(count[long].sum()), dtype=bool)
             tail = np.cumsum(count[long])
