@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,7 @@ WIDTH = 2.0
 MISS = 0.01  # chance that a pair right at the threshold meets in no table; closer pairs are missed far less
 APART = 64  # wanted number of unrelated points that meet a point in a table
 BLOCK = 1024
+FEW = 48  # points of a group whose pairs are formed together with those of other groups
 SEED = 77
 
 
@@ -54,18 +55,24 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(xs, pa.binary())], names=["vec_id", "x"])
 
 
+@lru_cache(maxsize=2)
+def _directions(size: int, hashes: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and shifts of all tables, drawn once for each worker."""
+    rng = np.random.default_rng(SEED)
+    return rng.standard_normal((size, tables * hashes)), rng.uniform(0, WIDTH, tables * hashes)
+
+
 def _keys(x: np.ndarray, hashes: int, tables: int) -> np.ndarray:
     """One row of table keys for each point; a key holds its table's number."""
-    rng = np.random.default_rng(SEED)
+    a, b = _directions(x.shape[1], hashes, tables)
     out = np.empty((len(x), tables), dtype=np.int64)
     with np.errstate(over="ignore"):
-        for t in range(tables):
-            a, b = rng.standard_normal((x.shape[1], hashes)), rng.uniform(0, WIDTH, hashes)
-            h = np.floor((x @ a + b) / WIDTH).astype(np.int64).view(np.uint64)
-            key = np.full(len(x), t, dtype=np.uint64)
-            for k in range(hashes):
-                key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + h[:, k])
-            out[:, t] = key.view(np.int64)
+        for k in range(0, len(x), 4096):
+            h = np.floor((x[k : k + 4096] @ a + b) / WIDTH).astype(np.int64).view(np.uint64).reshape(-1, tables, hashes)
+            key = np.tile(np.arange(tables, dtype=np.uint64), (len(h), 1))
+            for j in range(hashes):
+                key = hashing.mix(key * np.uint64(0x9E3779B97F4A7C15) + h[:, :, j])
+            out[k : k + 4096] = key.view(np.int64)
     return out
 
 
@@ -99,33 +106,109 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return keep
 
 
+def _tree(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that connect what the symmetric matrix `linked` connects."""
+    left, out = np.ones(len(linked), dtype=bool), []
+    for start in range(len(linked)):
+        if not left[start]:
+            continue
+        left[start], open_ = False, [start]
+        while open_:
+            a = open_.pop()
+            new = np.flatnonzero(linked[a] & left)
+            left[new] = False
+            open_ += new.tolist()
+            out.append((np.full(len(new), a), new))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x[a] . x[b] by equal steps for every pair (a sum in another order could fall on the other side of the threshold), a slice at a time."""
+    step = max(1, (1 << 22) // x.shape[1])
+    return np.concatenate([np.einsum("ij,ij->i", x[a[k : k + step]], x[b[k : k + step]]) for k in range(0, max(1, len(a)), step)])
+
+
 def _compare(hashes: int, tables: int, cosine: float):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links within a bucket, or, where left and right name different blocks, between the two."""
-        bucket, left, right = key
-        x = np.frombuffer(b"".join(rows["x"]), dtype=np.float64).reshape(len(rows), -1)
-        ids, weight, side = rows["id"].to_numpy(), rows["weight"].to_numpy(), rows["block"].to_numpy()
-        one, two = (np.flatnonzero(side == left), np.flatnonzero(side == right)) if left != right else (np.arange(len(rows)),) * 2
-        # Equal steps for every pair: a sum in another order could fall on the other side of the threshold.
-        a, b = np.nonzero(x[one] @ x[two].T >= cosine - 1e-9)
-        a, b = one[a], two[b]
-        if left == right:
-            a, b = a[a < b], b[a < b]
-        sure = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+    """Rows in the order of (bucket, left, right) to counts of links (id, n) and links that connect the same (id, 0, other). A group is a bucket, or two of its blocks; groups are at most two blocks long."""
+
+    def large(bucket: int, x: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, ...]:
+        one, two = np.flatnonzero(block == block[0]), np.flatnonzero(block != block[0])
+        two = two if len(two) else one
+        keys, linked = _keys(x, hashes, tables), np.zeros((len(x), len(x)), dtype=bool)
+        close = x[one] @ x[two].T
+        near = close >= cosine - 1e-9
+        for u in range(int(np.argmax(keys[0] == bucket))):  # what has met in an earlier table is counted there
+            if not near.any():
+                break
+            near &= keys[one, u][:, None] != keys[two, u][None, :]
+        a, b = np.nonzero(near & (close <= cosine + 1e-9))
+        near[a, b] = _dots(x, one[a], two[b]) >= cosine
+        linked[np.ix_(one, two)] |= near
+        linked |= linked.T
+        np.fill_diagonal(linked, False)
+        return linked, *_tree(linked)
+
+    def small(bucket: np.ndarray, ends: np.ndarray, x: np.ndarray, block: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        count = ends - np.arange(len(ends)) - 1
+        a = np.repeat(np.arange(len(ends)), count)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + a + 1
+        meet = ~cross[a] | (block[a] != block[b])
+        a, b = a[meet], b[meet]
+        sure = _dots(x, a, b) >= cosine
         a, b = a[sure], b[sure]
         if len(a):
             used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
             keys = _keys(x[used], hashes, tables)
-            ka, kb = keys[at[: len(a)]], keys[at[len(a) :]]
-            first = np.concatenate([np.argmax(ka[i : i + 65536] == kb[i : i + 65536], axis=1) for i in range(0, len(a), 65536)])
-            own = ka[np.arange(len(a)), first] == bucket
+            own = np.ones(len(a), dtype=bool)
+            for k in range(0, len(a), 65536):
+                ka, kb = keys[at[k : min(k + 65536, len(a))]], keys[at[len(a) + k : len(a) + k + 65536]]
+                own[k : k + 65536] = ka[np.arange(len(ka)), np.argmax(ka == kb, axis=1)] == bucket[a[k : k + 65536]]
             a, b = a[own], b[own]
-        n = np.bincount(a, weight[b], len(rows)) + np.bincount(b, weight[a], len(rows))
-        keep = _forest(a, b)
-        some = np.flatnonzero(n)
-        counts = pd.DataFrame({"id": ids[some], "n": n[some].astype(np.int64), "other": pd.array([None] * len(some), dtype="Int64")})
-        links = pd.DataFrame({"id": ids[a[keep]], "n": 0, "other": pd.array(ids[b[keep]], dtype="Int64")})
-        return pd.concat([counts, links])
+        return a, b
+
+    def told(rows: list[np.ndarray]) -> pa.RecordBatch:
+        bucket, left, right, block, ids, weight, x = rows
+        first = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))))
+        ends = np.append(first[1:], len(ids))
+        n, links = np.zeros(len(ids)), [(np.zeros(0, np.int64),) * 2]
+        few = np.repeat(ends - first <= FEW, ends - first)
+        if few.any():
+            at = np.flatnonzero(few)
+            stop = np.cumsum((ends - first)[ends - first <= FEW])
+            a, b = small(bucket[at], np.repeat(stop, np.diff(stop, prepend=0)), x[at], block[at], left[at] != right[at])
+            n[at] += np.bincount(a, weight[at][b], len(at)) + np.bincount(b, weight[at][a], len(at))
+            keep = _forest(a, b)
+            links.append((at[a[keep]], at[b[keep]]))
+        for k in np.flatnonzero(ends - first > FEW):
+            own = slice(first[k], ends[k])
+            linked, a, b = large(bucket[first[k]], x[own], block[own] if left[first[k]] != right[first[k]] else np.zeros(ends[k] - first[k]))
+            n[own] += linked @ weight[own]
+            links.append((first[k] + a, first[k] + b))
+        a, b = (np.concatenate(z) for z in zip(*links, strict=True))
+        some, at = np.unique(ids, return_inverse=True)
+        n = np.bincount(at, n, len(some)).astype(np.int64)
+        none = np.concatenate((np.ones(len(some), dtype=bool), np.zeros(len(a), dtype=bool)))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate((some, ids[a]))), pa.array(np.concatenate((n, np.zeros(len(a), np.int64)))), pa.array(np.concatenate((some, ids[b])), mask=none)], names=["id", "n", "other"]
+        )
+        return out.filter(pa.array(~none | (np.append(n, np.zeros(len(a))) > 0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("bucket", "left", "right", "block", "id", "weight")]
+            rows.append(np.frombuffer(b"".join(batch.column("x").to_pylist()), dtype=np.float64).reshape(batch.num_rows, -1))
+            if held is not None:
+                rows = [np.concatenate(z) for z in zip(held, rows, strict=True)]
+            last = len(rows[0]) - 1
+            begin = np.flatnonzero((rows[0] == rows[0][last]) & (rows[1] == rows[1][last]) & (rows[2] == rows[2][last]))[0]
+            if begin:
+                yield told([z[:begin] for z in rows])
+            held = [z[begin:].copy() for z in rows]
+        if held is not None:
+            yield told(held)
 
     return run
 
@@ -147,7 +230,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     entries = entries.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("int"))
     with_block = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = entries.withColumn("other", F.explode(with_block)).withColumns({"left": F.least("block", "other"), "right": F.greatest("block", "other")})
-    found = written(pairs.select("bucket", "left", "right", "block", "id", "weight", "x").groupBy("bucket", "left", "right").applyInPandas(_compare(hashes, tables, cosine), "id long, n long, other long"))
+    placed = pairs.select("bucket", "left", "right", "block", "id", "weight", "x").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right")
+    found = written(placed.mapInArrow(_compare(hashes, tables, cosine), "id long, n long, other long"))
     linked = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     by_point = points.join(counts, "id", "left").join(linked, "id", "left").select("x", F.coalesce("component", "id").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
