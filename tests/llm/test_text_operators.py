@@ -386,7 +386,7 @@ def test_passages_cover_every_exact_repeat(spark, data):
 
 
 def passages_of(spark, rows):
-    docs = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string").repartition(len(rows))
+    docs = spark.createDataFrame([(k, t) for k, t in rows], "doc_id long, text string").repartition(min(20, len(rows)))
     one = {r["doc_id"]: r["passages"] for r in substring_dedup.repeated_passages(docs.coalesce(1)).collect()}
     return one, {r["doc_id"]: r["passages"] for r in substring_dedup.repeated_passages(docs).collect()}
 
@@ -419,6 +419,18 @@ def test_passages_beside_a_common_line(spark):
         assert all(covers(got[100 * k + j], 40, 95) if j in (3, 7) else not got[100 * k + j] for k in range(6) for j in range(10))
 
 
+def test_passages_behind_common_words(spark):
+    """Pairs of texts that share a run of 52 words whose first 30, 36 or 40 stand in all texts: every run is found in both."""
+    rows = []
+    for n, common in enumerate((30, 36, 40)):
+        line = words(50_000 + n, common)
+        for k in range(100):
+            own = words(51_000 + 100 * n + k, 52 - common)
+            rows += [(1000 * n + 2 * k + j, f"{words(60_000 + 1000 * n + 2 * k + j, 30)} {line} {own} {words(70_000 + 1000 * n + 2 * k + j, 30)}") for j in (0, 1)]
+    for got in passages_of(spark, rows):
+        assert not [k for k, _ in rows if not covers(got[k], 30, 82)]
+
+
 def test_passages_over_edits(spark):
     """Near copies of 50 to 100 words at a similarity of 0.75 or more are found whole, wherever their edits stand."""
     def changed(w, edits):
