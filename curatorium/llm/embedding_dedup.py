@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.llm import hashing
-from curatorium.llm.shared import components, written
+from curatorium.llm.shared import components, forest, written
 
 COSINE = 0.9
 WIDTH = 2.0
@@ -88,24 +88,6 @@ def _hashed(hashes: int, tables: int):
     return run
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which of the links (a, b) of small integers to keep so that the same are connected."""
-    parent: dict[int, int] = {}
-
-    def root(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    keep = np.zeros(len(a), dtype=bool)
-    for k, (u, v) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        u, v = root(u), root(v)
-        if u != v:
-            parent[u] = v
-            keep[k] = True
-    return keep
-
-
 def _tree(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (a, b) that connect what the symmetric matrix `linked` connects."""
     left, out = np.ones(len(linked), dtype=bool), []
@@ -177,7 +159,7 @@ def _compare(hashes: int, tables: int, cosine: float):
             stop = np.cumsum((ends - first)[ends - first <= FEW])
             a, b = small(bucket[at], np.repeat(stop, np.diff(stop, prepend=0)), x[at], block[at], left[at] != right[at])
             n[at] += np.bincount(a, weight[at][b], len(at)) + np.bincount(b, weight[at][a], len(at))
-            keep = _forest(a, b)
+            keep = forest(a, b)
             links.append((at[a[keep]], at[b[keep]]))
         for k in np.flatnonzero(ends - first > FEW):
             own = slice(first[k], ends[k])

@@ -68,7 +68,9 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     seen = np.zeros(BINS, dtype=np.int64)
     for batch in batches:
         for _, raw, off in hashing.chunks(batch.column("text")):
-            seen += (counts(raw, off) > 0).sum(axis=0)
+            for a in range(0, len(off) - 1, 256):
+                own = off[a : a + 257]
+                seen += (counts(raw[own[0] : own[-1]], own - own[0]) > 0).sum(axis=0)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS, dtype=np.int32)), pa.array(seen)], names=["bin", "seen"])
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curatorium.llm import hashing
-from curatorium.llm.shared import components, written
+from curatorium.llm.shared import components, forest, written
 
 WIDTH = 5
 PERCENT = 75
@@ -119,7 +119,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(key: tuple, table: pa.Table) -> pa.Table:
-    """Links between members of different components within a block of a group, or between its blocks left and right."""
+    """Links that connect members of different components within a block of a group, or in its blocks left and right."""
     _, left, right = (x.as_py() for x in key)
     sets = list(hashing.shingle_sets(table.column("text").combine_chunks(), WIDTH))
     ids, component, main, distance, block = (table.column(c).to_numpy() for c in ("id", "component", "main", "distance", "block"))
@@ -144,7 +144,9 @@ def _across(key: tuple, table: pa.Table) -> pa.Table:
         for y in np.flatnonzero(near & (100 * common >= PERCENT * (size + size[x] - common))):
             a.append(ids[x])
             b.append(ids[y])
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+    keep = forest(a, b)
+    return pa.table({"a": pa.array(a[keep]), "b": pa.array(b[keep])})
 
 
 def _rest(grouped: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -152,10 +154,15 @@ def _rest(grouped: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     placed = grouped.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = placed.join(found.select(F.col("id").alias("lead"), F.col("component").alias("main")), "lead", "left").withColumn("main", F.coalesce("main", "lead"))
     placed = written(placed)
-    apart = placed.groupBy("lead").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("total"), F.count_if(F.col("component") != F.col("main")).alias("apart")).where("apart > 0 and members > 1")
-    blocks = F.ceil(F.greatest(F.col("members") / BLOCK, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    rows = placed.join(apart.select("lead", blocks.alias("blocks")), "lead").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    away = F.col("component") != F.col("main")
+
+    def blocks(which):
+        return F.ceil(F.greatest(F.count_if(which) / BLOCK, F.sum(F.when(which, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
+
+    sizes = placed.groupBy("lead").agg(F.count("*").alias("members"), blocks(away).alias("apart"), F.coalesce(blocks(~away), F.lit(0)).alias("rest")).where("apart > 0 and members > 1").drop("members")
+    rows = placed.join(sizes, "lead")  # members apart have blocks of their own; only these meet others, so the rest are sent to few
+    own = F.when(away, F.pmod(F.xxhash64("id"), F.col("apart"))).otherwise(F.col("apart") + F.pmod(F.xxhash64("id"), F.greatest("rest", F.lit(1))))
+    rows = rows.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("apart") + F.when(away, F.col("rest")).otherwise(0) - 1)))
     rows = rows.select("lead", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "main", "distance").join(texts, "id")
     return written(rows.groupBy("lead", "left", "right").applyInArrow(_across, "a long, b long"))
 

@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
 Detected entities (mail addresses, telephone and payment-card numbers, network addresses, national numbers, account numbers, and names after a
-title) are brought to a canonical form, so that all mentions of one entity, however written, get one surrogate.
+title, with all mentions of these in the same text) are brought to a canonical form, so that all mentions of one entity, however written, get one surrogate.
 A surrogate is drawn by a keyed hash and keeps the kind, the script, the length and the format: letters stay letters of their alphabet and case,
 digits stay digits of theirs, a card keeps a valid check digit, a network address stays valid, and a given name comes from the names of the
 title's gender. The surrogates of all entities are then checked against one another and against the entities themselves; those that collide
@@ -19,6 +19,7 @@ from curatorium.llm import spans
 from curatorium.llm.shared import written
 
 KEY = "curatorium"
+ATTEMPTS = 40  # draws of a surrogate before its format counts as full
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _WORD = r"\p{Lu}[\p{L}'’-]{1,30}"
 _MALE = r"Mr|Herr|Hr|Señor|Sr|Don|Monsieur|Г-н|Господин|κ|Κος"
@@ -97,7 +98,23 @@ def detected(docs: DataFrame) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), spans.none().alias("kept"))
     step = lambda acc, s: F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["kept"], F.array(s)).alias("kept"))).otherwise(acc)
     kept = F.aggregate("entities", zero, step, lambda acc: acc["kept"])
-    return rows.withColumn("entities", F.when(F.size("entities") > 1, kept).otherwise(F.col("entities"))).select(*docs.columns, "entities")
+    rows = rows.withColumn("entities", F.when(F.size("entities") > 1, kept).otherwise(F.col("entities")))
+    # Names found behind a title are looked for once more, wherever the text has them as words.
+    titled = F.filter("entities", lambda s: s["kind"].isin([k.name for k in KINDS if k.form == "name"]))
+    word = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    rows = rows.withColumn("_names", F.transform(titled, lambda s: F.struct(word(s).alias("name"), s["kind"].alias("kind"), s["place"].alias("place"))))
+    again = F.concat(F.lit(r"(?<![\p{L}'’-])(?:"), F.array_join(F.array_distinct(F.col("_names.name")), "|"), F.lit(r")(?!\p{L}|['’-]\p{L}{2})"))
+    rows = rows.withColumn("_again", F.when(F.size("_names") > 0, again))
+    mentions = spans.spans("name", len(KINDS), F.regexp_extract_all(text, F.col("_again"), F.lit(0)), F.split(text, F.col("_again"), -1))
+
+    def known(s):
+        first = F.filter("_names", lambda n: n["name"] == word(s))[0]
+        return F.struct(s["start"].alias("start"), first["place"].alias("place"), s["end"].alias("end"), first["kind"].alias("kind"))
+
+    rows = rows.withColumn("_mentions", F.when(F.size("_names") > 0, F.transform(mentions, known)))
+    free = F.filter("_mentions", lambda s: ~F.exists("entities", lambda e: (e["start"] < s["end"]) & (s["start"] < e["end"])))
+    rows = rows.withColumn("entities", F.when(F.size("_mentions") > 0, F.array_sort(F.concat("entities", free))).otherwise(F.col("entities")))
+    return rows.select(*docs.columns, "entities")
 
 
 def _form(form: str) -> Column:
@@ -159,22 +176,26 @@ def _surrogate(key: str, attempt: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """(kind, canon, surrogate) for the distinct (kind, canon) of entities: within a kind no two surrogates are equal and none is an entity of that kind.
+    """(kind, canon, surrogate, distinct) for the distinct (kind, canon) of entities: within a kind no two surrogates are equal and none is an entity of that kind.
 
-    Entities whose draw is taken by another, or is an entity itself, draw again; each round settles all but the few that collide anew.
+    Entities whose draw is taken by another, or is an entity itself, draw again; each round settles all but the few that collide anew. Where ATTEMPTS draws
+    find no free one, as when a format has fewer values than a corpus has entities of it, the last draw stays and distinct is false.
     """
     pending = written(entities.select("kind", "canon").distinct())
     taken = pending.select("kind", F.col("canon").alias("surrogate"))
     done, attempt = [], 0
     while True:
-        drawn = pending.withColumn("hexes", _drawn(key, F.lit(attempt)))
+        drawn = pending.repartition("kind", "canon").withColumn("hexes", _drawn(key, F.lit(attempt)))  # few bytes, but much to compute
         drawn = drawn.select("kind", "canon", _surrogate(key, F.lit(attempt)).alias("surrogate"))
         winner = drawn.join(taken, ["kind", "surrogate"], "left_anti").groupBy("kind", "surrogate").agg(F.min("canon").alias("canon"))
-        settled = written(winner.select("kind", "canon", "surrogate"))
+        settled = written(winner.select("kind", "canon", "surrogate", F.lit(True).alias("distinct")))
         done.append(settled)
         pending = written(pending.join(settled, ["kind", "canon"], "left_anti"))
         if pending.isEmpty():
             break
+        if attempt + 1 >= ATTEMPTS:
+            done.append(pending.withColumn("hexes", _drawn(key, F.lit(attempt))).select("kind", "canon", _surrogate(key, F.lit(attempt)).alias("surrogate"), F.lit(False).alias("distinct")))
+            break
         taken = taken.unionByName(settled.select("kind", "surrogate"))
         attempt += 1
     out = done[0]
@@ -211,9 +232,10 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     """docs with text in which every entity is replaced by its surrogate, and a column entities: (start, end, kind, surrogate) with places in the old text.
 
     Null and empty texts stay as they are. Rows that repeat a doc_id, or have none, are treated each by its own text; equal rows get equal texts.
-    A column entities of docs is replaced, as are _text_id and _doc_id; n_chars, if a column, is left. An empty table gives no rows.
+    A column entities of docs is replaced; n_chars, if a column, is left. An empty table gives no rows.
     """
-    docs = docs.drop("entities", "_text_id", "_doc_id", "_changes")
+    columns = [c for c in docs.columns if c != "entities"]
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), "doc_id", "text")
     text_id = F.xxhash64("text")
     seen = detected(docs.select("doc_id", "text"))
     value = lambda e: F.substring(F.col("text"), e["start"] + 1, e["end"] - e["start"])
@@ -226,5 +248,6 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     changes = new.groupBy(F.col("doc_id").alias("_doc_id"), "_text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("_changes"))
     rows = docs.withColumn("_key", text_id).join(changes, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_key").eqNullSafe(F.col("_text_id")), "left")
     changed = F.when(F.size("_changes") > 0, spans.rebuilt(F.col("text"), F.col("_changes"))).otherwise(F.col("text"))
+    row = [changed.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns]
     entities = F.coalesce("_changes", F.array().cast("array<struct<start:int,end:int,kind:string,new:string>>"))
-    return rows.select(*[changed.alias("text") if c == "text" else F.col(c) for c in docs.columns], entities.alias("entities"))
+    return rows.select(*row, entities.alias("entities"))

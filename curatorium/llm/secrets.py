@@ -141,30 +141,31 @@ def _at_least(least: int):
     return lambda part: F.length(part) >= least
 
 
-def scan(docs: DataFrame, rules=RULES) -> DataFrame:
-    """docs with a column `secrets`, an array of (start, place, end, kind) by start, then by the rule's place; code points, end exclusive.
+def scan(docs: DataFrame, rules=RULES, into: str = "secrets") -> DataFrame:
+    """docs with a column `into`, an array of (start, place, end, kind) by start, then by the rule's place; code points, end exclusive.
 
     Matches of one rule are its leftmost non-overlapping ones, those that are too short dropped; spans of different rules may overlap.
-    Null and empty texts have none. Rows that repeat a doc_id, or have none, share candidate rules but are searched each by
-    its own text. A column `secrets` of docs is replaced. An empty table gives no rows.
+    Null and empty texts have none. Rows that repeat a doc_id share candidate rules, as do rows without one that have equal texts, but are searched each by
+    its own text. A column of docs named as `into` is replaced, all others are kept. An empty table gives no rows.
     """
-    docs = docs.drop("secrets", "_rules", "_key")
-    found = candidates(postings(docs.select("doc_id", "text"), rules), rules).select(F.col("doc_id").alias("_key"), F.col("rules").alias("_rules"))
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_key")), "left").drop("_key")
-    text = F.coalesce("text", F.lit(""))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into])
+    docs = docs.select(whole.alias("row"), F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.coalesce("text", F.lit("")).alias("body"))
+    found = candidates(postings(docs.select(F.col("key").alias("doc_id"), F.col("body").alias("text")), rules), rules).select(F.col("doc_id").alias("of"), "rules")
+    rows = docs.join(found, F.col("key") == F.col("of"), "left").drop("key", "of")
+    text = F.col("body")
     names = []
     for k, rule in enumerate(rules):
-        wanted = F.array_contains("_rules", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
-        rows = rows.withColumn(f"_m{k}", F.when(wanted, F.regexp_extract_all(text, F.lit(rule.pattern), 0)))
+        wanted = F.array_contains("rules", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
+        rows = rows.withColumn(f"m{k}", F.when(wanted, F.regexp_extract_all(text, F.lit(rule.pattern), 0)))
     for k, rule in enumerate(rules):
-        hit = F.size(f"_m{k}") > 0
-        rows = rows.withColumn(f"_p{k}", F.when(hit, F.split(text, rule.pattern, -1)))
-        rows = rows.withColumn(f"_g{k}", F.when(hit, F.regexp_extract_all(text, F.lit(rule.pattern), rule.group))) if rule.group else rows
+        hit = F.size(f"m{k}") > 0
+        rows = rows.withColumn(f"p{k}", F.when(hit, F.split(text, rule.pattern, -1)))
+        rows = rows.withColumn(f"g{k}", F.when(hit, F.regexp_extract_all(text, F.lit(rule.pattern), rule.group))) if rule.group else rows
     for k, rule in enumerate(rules):
-        long = F.transform(f"_g{k}", _at_least(rule.least)) if rule.group else None
-        found = spans.spans(rule.kind, k, F.col(f"_m{k}"), F.col(f"_p{k}"), long)
-        names.append(F.coalesce(F.when(F.size(f"_m{k}") > 0, found), spans.none()))
-    return rows.select(*docs.columns, F.array_sort(F.concat(*names)).alias("secrets"))
+        long = F.transform(f"g{k}", _at_least(rule.least)) if rule.group else None
+        found = spans.spans(rule.kind, k, F.col(f"m{k}"), F.col(f"p{k}"), long)
+        names.append(F.coalesce(F.when(F.size(f"m{k}") > 0, found), spans.none()))
+    return rows.select("row.*", F.array_sort(F.concat(*names)).alias(into))
 
 
 def spans_text(found: Column) -> Column:
@@ -197,10 +198,11 @@ def _united(found: Column) -> Column:
 
 def masked(docs: DataFrame, rules=RULES, mask: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by `mask`, spans that overlap by one. n_chars, if a column, is counted anew."""
-    rows = scan(docs, rules)
-    changes = F.transform(_united(F.col("secrets")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("new")))
+    into = "secrets" + "_" * (1 + max(map(len, docs.columns)))  # no column of docs is named so
+    rows, found = scan(docs, rules, into), F.col(into)
+    changes = F.transform(_united(found), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask).alias("new")))
     built = spans.rebuilt(F.col("text"), changes)
-    rows = rows.withColumn("text", F.when(F.size("secrets") > 0, built).otherwise(F.col("text")))
+    rows = rows.withColumn("text", F.when(F.size(found) > 0, built).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
-    return rows.drop("secrets")
+        rows = rows.withColumn("n_chars", F.when(F.size(found) > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+    return rows.drop(into)

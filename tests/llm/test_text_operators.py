@@ -340,6 +340,38 @@ def test_pii_surrogates(spark):
     assert pii.pseudonymised(no_docs(spark)).count() == 0
 
 
+def test_pii_later_mentions(spark):
+    """A name found behind a title is replaced wherever the text has it as a word, by the same surrogate; longer words that hold it stay."""
+    text = "Mr John Smith came. Later Smith left, and John wrote. Smithson and Johnny stayed; Smith's too."
+    row = pii.pseudonymised(spark.createDataFrame([(1, text), (2, "Smith alone")], "doc_id long, text string")).orderBy("doc_id").collect()
+    new, names = row[0]["text"], {text[e["start"] : e["end"]]: e["new"] for e in row[0]["entities"]}
+    assert set(names) == {"John", "Smith"} and len(row[0]["entities"]) == 5
+    assert new == f"Mr {names['John']} {names['Smith']} came. Later {names['Smith']} left, and {names['John']} wrote. Smithson and Johnny stayed; {names['Smith']}'s too."
+    assert row[1]["text"] == "Smith alone"
+
+
+def test_pii_full_format_ends(spark, monkeypatch):
+    """More entities than their format has values: all have a surrogate, those beyond are marked."""
+    monkeypatch.setattr(pii, "ATTEMPTS", 4)
+    rows = pii.surrogates(spark.createDataFrame([("phone", f"{k:02d}") for k in range(80)], "kind string, canon string")).collect()
+    assert len(rows) == 80 and all(len(r["surrogate"]) == 2 for r in rows)
+    sure = [r["surrogate"] for r in rows if r["distinct"]]
+    assert len(sure) == len(set(sure)) <= 20
+
+
+def test_callers_columns_are_kept(spark):
+    """Columns named like the operators' own hold the caller's values."""
+    import corpus_pipeline
+
+    docs = odd_docs(spark, extra=True).select("*", *[F.lit("x").alias(c) for c in ("_m0", "_rules", "_doc_id", "_changes", "row", "key", "rules", "body", "kept", "mix_key", "_of")])
+    own = [c for c in docs.columns if docs.schema[c].dataType.typeName() == "string" and c not in ("text", "lang", "source")]
+    outs = {"masked": secrets.masked(docs), "scan": secrets.scan(docs), "pii": pii.pseudonymised(docs)} | {n: f(spark, docs, SMALL) for n, f in corpus_pipeline.STAGES[:-1]}
+    for name, out in outs.items():
+        kept = [c for c in own if c != {"scan": "secrets", "pii": "entities"}.get(name)]
+        rows = out.select(*kept).distinct().collect()
+        assert name == "quality_classifier" and not rows or [set(r) for r in rows] == [{"x"}], name
+
+
 def test_pii_surrogates_are_distinct(spark, data):
     docs = documents(spark, data).select("doc_id", "text")
     seen = pii.detected(docs).select("text", F.explode("entities").alias("e"))
