@@ -15,17 +15,22 @@ from curatorium.llm.shared import written
 QUALITY_LEAST = 0.5
 
 
+def _carried(docs: DataFrame, *columns: str) -> DataFrame:
+    """All columns of docs as one column `row`, so that none of their names can clash with an operator's, beside those the operator reads."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, learnt from the labels of these documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     weights = quality.train(docs.select("doc_id", "text"), labels.where(quality.remainder(3) != 1))
-    return quality.score(docs, weights).where(F.col("score") >= QUALITY_LEAST).select(*docs.columns)
+    return quality.score(_carried(docs, "text"), weights).where(F.col("score") >= QUALITY_LEAST).select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id; of rows that repeat it, all stay."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept")).distinct()
+    return _carried(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources have the same share of rows, in a global random order."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(_carried(docs, "doc_id", "text", "source")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
