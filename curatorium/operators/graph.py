@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a folder of this process."""
+    """The folder in spark.checkpoint.dir, or the one set as the checkpoint folder. On one machine a folder of this process will do; on a cluster, whose executors would each write to a disk of their own, an unset folder is an error."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="curatorium-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
