@@ -97,3 +97,35 @@ BAD_PERIOD = "対象児童|出生|新生児|児童手当|住民登録|給付対
 EXPIRED_YEARS = "201[0-9]年|202[0-5]年|202[0-5]年度"
 OPEN, CLOSED_STATUS, ANNOUNCED, UNKNOWN = "公募中", "受付終了", "予告", "不明"
 INT4_MAX = 2147483647
+
+#: Kinds of expenses, in the order they are looked for.
+EXPENSES = (
+    "機械装置費", "機械器具費", "設備・機器", "システム導入費", "ソフトウェア費", "クラウド利用料", "広告宣伝費", "展示会出展費", "専門家経費", "専門家謝金",
+    "委託費", "外注費", "開発費", "試作費", "設計費", "工事費", "輸送費", "物流費", "運搬費", "原材料費", "材料費", "借料", "使用料", "賃借料", "印刷製本費",
+    "通信運搬費", "消耗品費", "検査費", "認証取得費", "研修費", "翻訳費", "通訳費", "人件費", "旅費", "謝金", "設備費", "機器費", "広報費", "設備", "機器",
+)
+MACHINES = ("機械装置費", "機械器具費", "設備・機器")
+NOT_EXPENSE = "補助率|助成率|上限|限度額|補助額|助成額|申請期間|受付期間|募集期間|[0-9]+分の[0-9]+|[0-9]+/[0-9]+|[0-9]+[%％]|円|切捨て|切り捨て"
+MARKUP = "[<>=]|(?i:strong|span|style|class|div|href)"
+EXPENSE_LABELS = ("対象経費", "補助対象経費", "助成対象経費", "対象となる経費")
+
+#: Lines of pages that state a period, and those that state something else.
+PERIOD_LABEL = "募集期間|申請期間|受付期間|公募期間|申請期限|受付期限|提出期限|募集期限|締切|締め切り|応募期間|応募期限"
+PERIOD_HINT = "申請|受付|提出|応募|募集|公募|締切|締め切り|期限|申込|申し込み|請求|手続|電子申請|郵送|窓口"
+PAGE_OPEN_ENDED = "助成枠に達するまで|予算額に達するまで|予算に達するまで|予算枠に達し次第|予算上限に達し次第|上限に達するまで|定員に達し次第|達し次第|なくなり次第|予算がなくなり次第|随時|常時|通年|期間の定めなし"
+NOT_PERIOD = (
+    "対象児童|給付対象者|支給対象者|対象者|対象となる児童|対象となる方|対象となる世帯|出生|生まれ|生年月日|新生児|児童|こども|子ども|児童手当|住民登録|受給者|給付対象|支給対象|給付額|支給額|年齢|扶養|所得|世帯"
+    "|令和[0-9]+年[0-9]+月分|保護者|から今|から現在|から現時点|から今日|から本日|より今|より現在|以降今|以降現在"
+)
+DATE_LIKE = "令和|平成|20[0-9]{2}年|[0-9]{1,2}月\\s*[0-9]{1,2}日|随時|通年|達し次第|なくなり次第"
+RANGE_LIKE = "～|〜|-|から|より|まで|随時|通年|達し次第|なくなり次第|期限|締切|締め切り"
+START_ROW = "公募開始|募集開始|受付開始|申請受付開始|申請開始|公開開始"
+ENDS_IN_ROW = "期限|締切|締め切り|まで|～|〜"
+DEADLINE_ROWS = (
+    ("(?:企画提案書|提案書|プロポーザル|企画書|応募書類|申請書).{0,30}(?:提出期限|提出締切|提出〆切|締切|期限)", 120),
+    ("(?:参加申込書|参加申込|申込書|申込).{0,30}(?:提出期限|提出締切|提出〆切|締切|期限)", 70),
+    ("提出期限|提出締切|提出〆切|応募期限|募集期限|受付期限|申請期限|締切|締め切り", 60),
+)
+OTHER_ROWS = "質問に対する回答|回答|審査|プレゼンテーション|結果通知|通知|説明会|ヒアリング|選定|審査結果|公表"
+SHOWN_DATE = "令和[元0-9]+年\\s*[0-9]{1,2}月\\s*[0-9]{1,2}日(?:[（(][^）)]*[）)])?(?:\\s*(?:午前|午後)?\\s*[0-9]{1,2}時(?:[0-9]{1,2}分)?(?:\\s*まで)?|\\s*[0-9]{1,2}[:：][0-9]{2})?"
+STATED_STATUS = ("予告", "受付終了", "公募中")

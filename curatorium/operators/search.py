@@ -31,6 +31,34 @@ def missing_last(c: Column, descending: bool) -> list[Column]:
     return [F.when(c > 0, 0).otherwise(1), c.desc() if descending else c.asc()]
 
 
+def newness(times: list[Column], number: Column) -> Column:
+    """Milliseconds of the first of the times (texts) that can be read, else the number."""
+    read = [F.try_to_timestamp(F.nullif(c, F.lit(""))) for c in times]
+    return F.coalesce(*[F.unix_millis(c) for c in read], number.cast("bigint"), F.lit(0).cast("bigint"))
+
+
+def of_mode(df: DataFrame, mode: str, closed: Column) -> DataFrame:
+    """Rows that are open, closed, or all."""
+    return df if mode == "all" else df.where(~closed if mode == "open" else closed)
+
+
+def list_order(mode: str, sort: str, closed: Column, newest: Column, deadline: Column, amount: Column, title: Column, number: Column) -> list[Column]:
+    """Sort keys of the list: where all rows are shown, open ones first; deadlines run backwards in the list of closed ones; rows without an amount last; ties by number, so the order is total."""
+    by = {
+        "deadline": [deadline.desc() if mode == "closed" else deadline.asc()], "amount_desc": missing_last(amount, True), "amount_asc": missing_last(amount, False), "title": [F.coalesce(title, F.lit("")).asc()],
+    }
+    return ([closed.cast("int").asc()] if mode == "all" else []) + by.get(sort, [newest.desc()]) + [number.asc()]
+
+
+def page_numbers(page: Column, pages: Column) -> Column:
+    """The page numbers to offer: five around the page, fewer where there are fewer."""
+    first, last = F.greatest(F.lit(1), page - 2), F.least(pages, page + 2)
+    short = last - first < 4
+    low = F.when(short & (first != 1) & (last == pages), F.greatest(F.lit(1), pages - 4)).otherwise(first)
+    high = F.when(short & (first == 1), F.least(pages, F.lit(5))).otherwise(last)
+    return F.when(high >= low, F.sequence(low.cast("int"), F.greatest(low, high).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
 def page_of(df: DataFrame, page: int, size: int, *order: Column) -> DataFrame:
     """Rows of one page, in order. The order must be total. The engine keeps only the rows up to the page's end."""
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
