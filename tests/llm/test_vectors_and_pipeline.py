@@ -6,6 +6,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from curatorium.llm import embedding_dedup, queries, topk
@@ -45,9 +46,10 @@ def test_topk_equals_brute_force(spark, data):
     assert {tuple(r) for r in queries.op4_exact_topk(spark, data).collect()} == best(rows)
 
 
-def test_topk_equals_sql(spark, data):
-    df = queries.op4_exact_topk(spark, data)
-    columns, rows = duck_rows(data, queries.ORACLES["op4_exact_topk"])
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_equals_sql(spark, data, name):
+    df = queries.QUERIES[name](spark, data)
+    columns, rows = duck_rows(data, queries.ORACLES[name])
     assert rows_of(df.columns, df.collect()) == rows_of(columns, rows) and rows
 
 
