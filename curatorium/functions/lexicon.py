@@ -129,3 +129,50 @@ DEADLINE_ROWS = (
 OTHER_ROWS = "質問に対する回答|回答|審査|プレゼンテーション|結果通知|通知|説明会|ヒアリング|選定|審査結果|公表"
 SHOWN_DATE = "令和[元0-9]+年\\s*[0-9]{1,2}月\\s*[0-9]{1,2}日(?:[（(][^）)]*[）)])?(?:\\s*(?:午前|午後)?\\s*[0-9]{1,2}時(?:[0-9]{1,2}分)?(?:\\s*まで)?|\\s*[0-9]{1,2}[:：][0-9]{2})?"
 STATED_STATUS = ("予告", "受付終了", "公募中")
+
+#: What a page's lines are taken for by their labels, and what makes an item of a list believable.
+VALUE_LABELS = ("補助限度額", "助成限度額", "補助率", "助成率", "対象経費", "補助対象経費", "対象事業者", "対象者", "補助対象者", "助成対象者", "給付額", "支給額", "給付対象者", "支給対象者")
+ENTITY_LABEL = "対象者|対象事業者|補助対象者|助成対象者|申請者|応募対象|対象となる方|対象企業|中小企業者|事業者の要件|給付対象者|支給対象者"
+EXPENSE_LABEL = "対象経費|補助対象経費|助成対象経費|対象となる経費|補助対象事業|助成対象事業|対象事業|取組内容|対象となる取組"
+EXPENSE_WORDS = (
+    "経費|費用|事業|取組|取り組み|購入|導入|委託|工事|設備|システム|改修|削減|削減策|支援|開発|広告|広報|旅費|人件費|材料|備品|機器|調査|設計|施工|販路|研修|認証|検査|試験|製作|制作|印刷|出展"
+)
+ENTITY_WORDS = (
+    "事業者|法人|個人事業主|中小企業|小規模|団体|農業者|漁業者|林業者|県内|市内|町内|本店|支店|営業所|店舗|施設|事務所|組合|会社|企業|創業者|生産者|世帯|保護者|児童|子ども|こども|受給者"
+)
+FIELD_NOISE = "更新|更新日|お知らせ|お忘れない|忘れない|一覧|新着|トップページ|ページ一覧|関連情報|くらし|生活|物価高対応|子育て応援手当|\\*|#|URL|http|https"
+NOT_ITEM = "補助率|助成率|万円|上限|限度額|締切|募集期間|申請期間|問い合わせ|お問い合わせ"
+BENEFIT = "給付金|給付|支給|手当|応援手当|子育て応援|児童手当"
+URL_POINTS = (
+    (r"(?i)pref\.ehime\.jp|city\.|town\.|lg\.jp|go\.jp|or\.jp", 10), ("(?i)j-net21|mirasapo|prtimes|hojyokin-portal|shienkin", -5), ("(?i)pdf", 1),
+    ("(?i)apply|boshu|koubo|hojo|subsidy|shinsei|page|teate|kyufu", 2),
+)
+
+#: Hosts of municipalities.
+MUNICIPALITY_HOSTS = (
+    ("city.matsuyama.ehime.jp", "松山市"), ("city.imabari.ehime.jp", "今治市"), ("city.uwajima.ehime.jp", "宇和島市"), ("city.yawatahama.ehime.jp", "八幡浜市"), ("city.niihama.lg.jp", "新居浜市"), ("city.niihama.ehime.jp", "新居浜市"),
+    ("city.saijo.ehime.jp", "西条市"), ("city.ozu.ehime.jp", "大洲市"), ("city.iyo.lg.jp", "伊予市"), ("city.iyo.ehime.jp", "伊予市"), ("city.shikokuchuo.ehime.jp", "四国中央市"), ("city.seiyo.ehime.jp", "西予市"), ("city.toon.ehime.jp", "東温市"),
+    ("town.kamijima.lg.jp", "上島町"), ("kumakogen.jp", "久万高原町"), ("town.kumakogen.ehime.jp", "久万高原町"), ("town.masaki.ehime.jp", "松前町"), ("town.tobe.ehime.jp", "砥部町"), ("town.uchiko.ehime.jp", "内子町"), ("town.ikata.ehime.jp", "伊方町"),
+    ("town.matsuno.ehime.jp", "松野町"), ("town.kihoku.ehime.jp", "鬼北町"), ("town.ainan.ehime.jp", "愛南町"),
+)
+PREFECTURE_HOST = "pref.ehime.jp"
+OFFICIAL_PARTS = (".go.jp", ".lg.jp", ".or.jp", ".ehime.jp", "city.", "pref.", "town.")
+PORTALS = (
+    "hojyokin-portal.jp", "smart-hojokin.jp", "subsidy-el.jp", "biz-supporter.com", "tokyo-kosha.or.jp", "lycorp.co.jp", "yahoo.co.jp", "prtimes.jp", "note.com", "j-net21.smrj.go.jp", "mirasapo-plus.go.jp", "navinavi", "shikin-pro", "kamome-ops.com", "financeinjapan.com",
+)
+NO_VALUE = ("未記載", "不明", "未設定", "未具体化", "要確認")
+MISSING_FIELDS = ("金額", "申請期間", "対象事業者", "対象経費", "補助率")
+TITLE_FILLERS = "令和[0-9]+年度|令和|年度|補助金|補助事業|事業|支援"
+
+#: Period texts that a crawl does not take.
+CRAWL_NOT_PERIOD = (
+    "補助金・助成金一覧|事業者向け支援制度|支援制度一覧|更新日|掲載日|お知らせ|忘れない|児童手当|対象児童|対象となる支出|支出が対象|対象経費|対象期間|対象となる事業|対象事業期間|実施した事業を対象|以降に実施した事業を対象|事業期間|補助対象期間|補助対象事業|申請方法|交付要綱|制度概要"
+)
+CRAWL_PERIOD = (
+    "[0-9]{4}年|[0-9]{4}[-/][0-9]{1,2}|令和[0-9]+年|平成[0-9]+年|[一二三四五六七八九十元0-9]+月[0-9一二三四五六七八九十]+日|随時募集|随時受付|予算(?:額)?に達|予算上限|受付期間|募集期間|申請期限|締切|まで|通年"
+)
+SEE_OFFICIAL = "公式ページをご確認ください"
+ENDED = "受付終了|募集終了|申請受付を終了|終了しました|終了いたしました|公募終了|助成終了|補助終了|現在受付していません|現在募集していません|今年度の受付は終了|予算上限に達したため終了"
+SUSPENDED = "取扱いを休止|受付を休止|休止しています|休止中|取扱休止"
+RUNNING = "令和8年度募集|令和8年度.*受付|令和8年.*受付|現在募集中|随時募集|随時受付|受付中|募集中"
+ENDED_PERIOD = "令和[0-9]+年[0-9]+月[0-9]+日.*(?:助成終了|終了|まで)|20[0-9]{2}年[0-9]+月[0-9]+日.*(?:助成終了|終了|まで)"
