@@ -159,9 +159,11 @@ def _rest(grouped: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
     def blocks(which):
         return F.ceil(F.greatest(F.count_if(which) / BLOCK, F.sum(F.when(which, F.col("n_shingles"))) / BLOCK_SHINGLES)).cast("int")
 
-    sizes = placed.groupBy("lead").agg(F.count("*").alias("members"), blocks(away).alias("apart"), F.coalesce(blocks(~away), F.lit(0)).alias("rest")).where("apart > 0 and members > 1").drop("members")
+    few = (F.count("*") <= BLOCK) & (F.sum("n_shingles") <= BLOCK_SHINGLES)  # one block holds the whole group
+    sizes = placed.groupBy("lead").agg(F.count("*").alias("members"), few.alias("few"), blocks(away).alias("apart"), F.when(few, 0).otherwise(F.coalesce(blocks(~away), F.lit(0))).alias("rest"))
+    sizes = sizes.where("apart > 0 and members > 1").drop("members")
     rows = placed.join(sizes, "lead")  # members apart have blocks of their own; only these meet others, so the rest are sent to few
-    own = F.when(away, F.pmod(F.xxhash64("id"), F.col("apart"))).otherwise(F.col("apart") + F.pmod(F.xxhash64("id"), F.greatest("rest", F.lit(1))))
+    own = F.when(F.col("few"), 0).when(away, F.pmod(F.xxhash64("id"), F.col("apart"))).otherwise(F.col("apart") + F.pmod(F.xxhash64("id"), F.greatest("rest", F.lit(1))))
     rows = rows.withColumn("block", own.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("apart") + F.when(away, F.col("rest")).otherwise(0) - 1)))
     rows = rows.select("lead", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"), "block", "id", "component", "main", "distance").join(texts, "id")
     return written(rows.groupBy("lead", "left", "right").applyInArrow(_across, "a long, b long"))
