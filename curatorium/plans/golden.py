@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.functions import expenses, lexicon, periods
-from curatorium.operators import imports, search
+from curatorium.operators import gates, imports, search
 from curatorium.plans.shared import quoted, registry, table
 
 QUERIES, ORACLES, register = registry()
@@ -132,3 +132,31 @@ def feed_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = imports.normalised(feed, F.to_timestamp(F.lit("1998-01-15 00:00:00")))
     return rows.select("source_external_id", "title", "region_text", "prefecture", "municipality", "amount_max_yen", "subsidy_rate_text", "application_start_date", "application_status")
+
+
+_CRAWLED = PERIODS + EXPENSES
+_TITLE = "設備・機器"
+
+
+@register("crawl_periods", f"""WITH g(k, t) AS (VALUES {_values(_CRAWLED)}), x AS (SELECT k, trim(t) AS t FROM g),
+j AS (SELECT k, t, t <> '' AND ((contains(t, '{_TITLE}') AND length(t) <= {len(_TITLE) + 20}) OR regexp_full_match(t, '申請期間|受付期間|募集期間|対象者|対象経費|補助率|上限金額') OR (length(t) <= 8 AND regexp_matches(t, '期間|対象|概要|詳細'))
+  OR regexp_matches(t, {quoted(lexicon.CRAWL_NOT_PERIOD)}) OR regexp_full_match(t, '[0-9]{{4}}年[0-9]{{1,2}}月[0-9]{{1,2}}日(?:現在)?(?:更新|掲載)?|受付終了|募集終了|終了しました') OR regexp_matches(t, '(?:更新|掲載)$')
+  OR (regexp_matches(t, '補助金|助成金|支援事業') AND NOT regexp_matches(t, '[0-9]{{4}}|令和|平成|月|日|随時|終了')) OR t = '不明' OR NOT regexp_matches(t, {quoted(lexicon.CRAWL_PERIOD)})) AS bad FROM x)
+SELECT p_partkey, bad, CASE WHEN bad THEN '{lexicon.SEE_OFFICIAL}' ELSE t END AS shown FROM part JOIN j ON k = p_partkey % {len(_CRAWLED)}""")
+def crawl_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dealt(spark, sf_dir, _CRAWLED)
+    return rows.select("p_partkey", gates.is_bad_period(F.col("t"), F.lit(_TITLE)).alias("bad"), gates.safe_period(F.col("t"), F.lit(_TITLE))["after"].alias("shown"))
+
+
+_HOSTS = tuple(h for h, _ in lexicon.MUNICIPALITY_HOSTS) + (lexicon.PREFECTURE_HOST, "note.com", "hojokin.example.com", "hojokin.example.go.jp", "example.com")
+
+
+@register("source_gates", f"""WITH h(k, h) AS (VALUES {_values(_HOSTS)}), m(h, place) AS (VALUES {", ".join(f"('{h}', '{n}')" for h, n in lexicon.MUNICIPALITY_HOSTS)}, ('{lexicon.PREFECTURE_HOST}', '')),
+u AS (SELECT p_partkey, 'https://www.' || h || '/p/' || p_partkey AS url FROM part JOIN h ON k = p_partkey % {len(_HOSTS)}),
+f AS (SELECT *, len(list_filter({_words(lexicon.OFFICIAL_PARTS)}, lambda x: contains(url, x))) > 0 AS official, len(list_filter({_words(lexicon.PORTALS)}, lambda x: contains(url, x))) > 0 AS listed FROM u)
+SELECT p_partkey, official, listed OR (contains(url, 'hojokin') AND NOT official) AS portal, place AS municipality, url || '/' AS slashed FROM f LEFT JOIN m ON m.h = regexp_extract(url, '^https://www\\.([^/]*)', 1)""")
+def source_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat(F.lit("https://www."), F.col("t"), F.lit("/p/"), F.col("p_partkey").cast("string"))
+    rows = _dealt(spark, sf_dir, _HOSTS).withColumn("url", url)
+    u = F.col("url")
+    return rows.select("p_partkey", gates.is_official(u).alias("official"), gates.is_portal(u).alias("portal"), gates.area_of(u)["municipality"].alias("municipality"), gates.with_slash(u).alias("slashed"))
