@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from curatorium.llm.shared import written
 
 PIVOTS = 24
-ANNULI = 16
+ANNULI = 8
 BLOCK = 2048  # vectors of a cell that meet queries in one group
 QUERY_BLOCK = 1024
 FIRST = 256
