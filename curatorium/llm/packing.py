@@ -33,8 +33,8 @@ BUCKET_TOKENS = 4_000_000
 MOST_BUCKETS = 100_000  # with so many, buckets hold more tokens each
 MAX_BROADCAST_ROWS = 200_000  # of the table of offsets (40 bytes a row); a larger one is joined by a shuffle
 NO_SHARE = 1e-9  # a queue of target 0 comes after all others
-_PARTS_KEPT, _CHARS_KEPT = 700_000, 1 << 24
-_CHUNK = 1 << 24
+_PARTS_KEPT, _CHARS_KEPT = 400_000, 1 << 24
+_CHUNK = 1 << 23
 
 #: Latin letters and then ASCII signs but the apostrophe: the ids are those of the letters in lower case and those of the signs.
 _PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]*)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"

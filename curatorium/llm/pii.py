@@ -246,8 +246,8 @@ def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
     known = surrogates(one, key)
     new = one.join(known, ["kind", "canon"]).withColumn("new", _rendered(F.col("value"), F.col("kind"), F.col("surrogate")))
     changes = new.groupBy(F.col("doc_id").alias("_doc_id"), "_text_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "new"))).alias("_changes"))
-    rows = docs.withColumn("_key", text_id).join(changes, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_key").eqNullSafe(F.col("_text_id")), "left")
-    changed = F.when(F.size("_changes") > 0, spans.rebuilt(F.col("text"), F.col("_changes"))).otherwise(F.col("text"))
+    rows = docs.select("row", "doc_id", text_id.alias("_key")).join(changes, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("_key").eqNullSafe(F.col("_text_id")), "left")
+    changed = F.when(F.size("_changes") > 0, spans.rebuilt(F.col("row.text"), F.col("_changes"))).otherwise(F.col("row.text"))
     row = [changed.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in columns]
     entities = F.coalesce("_changes", F.array().cast("array<struct<start:int,end:int,kind:string,new:string>>"))
     return rows.select(*row, entities.alias("entities"))

@@ -149,10 +149,10 @@ def scan(docs: DataFrame, rules=RULES, into: str = "secrets") -> DataFrame:
     its own text. A column of docs named as `into` is replaced, all others are kept. An empty table gives no rows.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != into])
-    docs = docs.select(whole.alias("row"), F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.coalesce("text", F.lit("")).alias("body"))
-    found = candidates(postings(docs.select(F.col("key").alias("doc_id"), F.col("body").alias("text")), rules), rules).select(F.col("doc_id").alias("of"), "rules")
+    docs = docs.select(whole.alias("row"), F.coalesce("doc_id", F.xxhash64("text")).alias("key"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    found = candidates(postings(docs.select(F.col("key").alias("doc_id"), text.alias("text")), rules), rules).select(F.col("doc_id").alias("of"), "rules")
     rows = docs.join(found, F.col("key") == F.col("of"), "left").drop("key", "of")
-    text = F.col("body")
     names = []
     for k, rule in enumerate(rules):
         wanted = F.array_contains("rules", rule.kind) if trigram_query(rule.pattern) else F.lit(True)
