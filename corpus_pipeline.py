@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor ke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.llm import minhash_dedup, mixing, packing, quality, secrets
@@ -15,22 +15,25 @@ from curatorium.llm.shared import written
 QUALITY_LEAST = 0.5
 
 
-def _carried(docs: DataFrame, *columns: str) -> DataFrame:
-    """All columns of docs as one column `row`, so that none of their names can clash with an operator's, beside those the operator reads."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+def _hidden(docs: DataFrame, *read: str) -> tuple[DataFrame, list[Column]]:
+    """docs with every column but those an operator reads under a name that no operator uses, and the columns to select for the old names."""
+    names = [c if c in read else f"column{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, learnt from the labels of these documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     weights = quality.train(docs.select("doc_id", "text"), labels.where(quality.remainder(3) != 1))
-    return quality.score(_carried(docs, "text"), weights).where(F.col("score") >= QUALITY_LEAST).select("row.*")
+    rows, back = _hidden(docs, "text")
+    return quality.score(rows, weights).where(F.col("score") >= QUALITY_LEAST).select(*back)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id; of rows that repeat it, all stay."""
     kept = minhash_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept")).distinct()
-    return _carried(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select("row.*")
+    rows, back = _hidden(docs, "doc_id")
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi").select(*back)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that all sources have the same share of rows, in a global random order."""
-    return mixing.mixed(_carried(docs, "doc_id", "text", "source")).select("row.*")
+    rows, back = _hidden(docs, "doc_id", "text", "source")
+    return mixing.mixed(rows).select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
