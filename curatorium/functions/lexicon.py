@@ -77,6 +77,17 @@ LINK_RULES = (
     ("url", "(?i)\\.(?:jpe?g|png|gif|webp|svg|ico|zip|docx?|xlsx?|pptx?)\\z", -5, ""), ("text", "^.{1,2}\\z", -5, ""), ("url", "(?i)/(?:kenko|fukushi|kosodate)/", -4, "weak"),
 )
 
+#: What the reasons of a link's score show for a field, and for rules whose expression is not what they are called.
+LINK_FIELDS = {"text": "link_text", "heading": "parent_heading", "url": "url"}
+LINK_LABELS = {
+    ("text", "補助(?!者|員|職員|事務|業務|作業)"): "link_text:補助", ("url", "(?i)/hojo(?:/|\\.|_|-)"): "url:/hojo", ("url", "(?i)business|sangyoshinko"): "url:business/sangyoshinko",
+    ("url", "(?i)youkou|boshu|koubo|guideline"): "pdf_filename:youkou/boshu/koubo/guideline", ("text", "認定申請"): "link_text:認定申請のみ", ("text", "手当"): "link_text:手当のみ", ("text", "児童手当"): "link_text:児童手当のみ",
+    ("text", "介護保険|保険制度"): "link_text:保険制度のみ", ("text", "職員採用|会計年度任用職員|職員"): "link_text:職員募集", ("text", "取消|取り消し|取り消しました"): "link_text:取消", ("text", "受付終了|募集終了"): "link_text:受付終了",
+    ("text", "報告|策定しました"): "link_text:報告/策定", ("text", "融資制度"): "link_text:融資制度のみ", ("text", "導入計画"): "link_text:導入計画のみ", ("text", "商品券|キャンペーン"): "link_text:商品券/キャンペーン",
+    ("url", "(?i)^https?://([^/?#]*\\.)?jgrants-portal\\.go\\.jp(?:[:/?#]|\\z)"): "url:jgrants-portal.go.jp", ("url", "^#"): "same_page_anchor", ("url", "(?i)^(mailto|tel|javascript):"): "invalid_scheme",
+    ("url", "(?i)\\.(?:jpe?g|png|gif|webp|svg|ico|zip|docx?|xlsx?|pptx?)\\z"): "asset_or_non_page_file", ("text", "^.{1,2}\\z"): "link_text:短すぎる", ("url", "(?i)/(?:kenko|fukushi|kosodate)/"): "url:kenko/fukushi/kosodate without strong subsidy",
+}
+
 #: Page scores: (field, expression, points, guard).
 PAGE_RULES = (
     ("title", "補助金", 8, ""), ("title", "助成金", 8, ""), ("title", "助成", 8, ""), ("title", "補助", 8, ""), ("title", "支援事業", 6, ""), ("title", "助成事業", 6, ""),
@@ -176,3 +187,23 @@ ENDED = "受付終了|募集終了|申請受付を終了|終了しました|終
 SUSPENDED = "取扱いを休止|受付を休止|休止しています|休止中|取扱休止"
 RUNNING = "令和8年度募集|令和8年度.*受付|令和8年.*受付|現在募集中|随時募集|随時受付|受付中|募集中"
 ENDED_PERIOD = "令和[0-9]+年[0-9]+月[0-9]+日.*(?:助成終了|終了|まで)|20[0-9]{2}年[0-9]+月[0-9]+日.*(?:助成終了|終了|まで)"
+
+#: Areas of a page: the elements whose links are looked at, in this order of preference, and the ones that surround what a page is about.
+CONTENT_AREAS = ("main", "article", "#tmp_contents", "#contents", "#main", ".content", ".main", ".article", ".entry", ".body")
+AREAS = {
+    "navigation": (("header", "nav", ".global-nav", ".gnav", ".local-nav", ".sidemenu", ".side", ".sidebar", "#gnav", "#tmp_menu", "#tmp_lnavi"), "(?i)nav|gnav|menu|side|sidebar|lnavi|global"),
+    "footer": (("footer", ".footer", "#footer", "#tmp_footer"), "(?i)footer|tmp_footer"),
+    "breadcrumb": ((".breadcrumb", ".breadcrumbs", ".pankuzu", "#breadcrumb", "#tmp_pankuzu"), "(?i)breadcrumb|breadcrumbs|pankuzu|tmp_pankuzu"),
+}
+CONTEXT_AREAS = ("li", "tr", "section", "article", ".box", ".list", ".item", "div")
+
+#: Lines of a page that say nothing about a programme: noise, the first line of what follows the text, and words of menus.
+PAGE_NOISE = (
+    "(?i)^!\\[.*?\\]\\(.*?\\)$|logo\\.png|search_title\\.png|JavaScriptが無効|文字の大きさ|背景色|音声読み上げ|検索|サイトマップ|ページの先頭|本文へ|閲覧支援|アクセシビリティ|新型コロナウイルス|職員採用|まじめえひめ|みきゃん"
+    "|愛媛県庁公式ホームページ|愛媛県公式ホームページ|Foreign Language|Googleカスタム検索|現在地|トップページ|組織で探す|分野で探す|目的で探す|カレンダーで探す|更新日：|印刷用ページ|Tweet|LINEで送る|Facebook|Xでポスト"
+)
+PAGE_FOOTER = "このページに関するお問い合わせ先|お問い合わせ先|愛媛県庁$|法人番号|〒[0-9]{3}-[0-9]{4}|(?i:Copyright|All Rights Reserved)"
+MENU_WORDS = ("検索", "組織", "分野", "目的", "防災", "観光", "県政", "採用", "入札", "相談", "申請")
+IMPORTANT_WORDS = ("補助金", "助成金", "補助事業", "公募", "募集", "申請", "対象", "補助対象", "補助率", "補助額", "上限", "受付", "期間", "締切", "要領", "交付", "事業者", "愛媛県")
+SECTION_WORDS = "概要|目的|対象|補助対象|申請|募集|公募|補助率|補助額|受付期間|提出先"
+TITLE_PARTS = "年度|事業|補助|助成|公募|募集"

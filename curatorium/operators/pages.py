@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +75,7 @@ def page_score(url: Column, title: Column, body: Column, links: Column, kind: Co
 
 
 def scored_links(links: DataFrame, domains: Column | None = None) -> DataFrame:
-    """Candidate links of index pages, scored: links has page, pos, url, text, heading, context, and nav (in a navigation area).
+    """Candidate links of index pages, scored: links has page, pos, url, text, heading, context, and nav (in a navigation area) or the flags of areas.links.
 
     Links of a page that share a normal form count once, the first one accepted. Adds link, score, reasons, penalties, same_domain, should_crawl.
     """
@@ -81,8 +84,9 @@ def scored_links(links: DataFrame, domains: Column | None = None) -> DataFrame:
     link, label, heading = F.col("link"), F.col("text"), F.col("heading")
     strong = _assists(label) & ~label.rlike("事務補助|業務補助|作業補助")
     near = F.lit(True) if domains is None else urls.within(urls.host(link), domains)
-    found = rules.conditions(lexicon.LINK_RULES, {"text": label, "heading": heading, "url": link}, {"weak": ~strong, "no_interest": ~label.rlike("利子補給|補助"), "pdf": urls.is_pdf(link)})
-    found += [(F.coalesce("nav", F.lit(False)), -5, "navigation -5"), (~near, -4, "external -4")]
+    found = rules.conditions(lexicon.LINK_RULES, {"text": label, "heading": heading, "url": link}, {"weak": ~strong, "no_interest": ~label.rlike("利子補給|補助"), "pdf": urls.is_pdf(link)}, lexicon.LINK_FIELDS, lexicon.LINK_LABELS)
+    around = [F.coalesce(c, F.lit(False)) for c in ("nav", *lexicon.AREAS) if c in links.columns]
+    found += [(reduce(or_, around, F.lit(False)), -5, "common_navigation_area -5"), (~near, -4, "external_domain -4")]
     everything = F.concat_ws("\n", label, heading, F.col("context"), link)
     signal = _assists(everything) | everything.rlike("支援|公募|募集|交付") | link.rlike("(?i)hojo|josei|shien")
     here = F.concat_ws(" ", label, heading, link)

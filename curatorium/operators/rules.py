@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from types import MappingProxyType
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,12 +11,20 @@ from pyspark.sql import functions as F
 Rule = tuple[str, str, int, str]
 
 
-def conditions(rules: Iterable[Rule], fields: Mapping[str, Column], guards: Mapping[str, Column]) -> list[tuple[Column, int, str]]:
-    """(condition, points, label) of each rule (field, expression, points, guard)."""
+def named(rule: Rule, names: Mapping[str, str], labels: Mapping[tuple[str, str], str]) -> str:
+    """The label of a rule: its own, or its field's name and its expression, with its points."""
+    field, pattern, points, _ = rule
+    plain = f"{names.get(field, field)}:{pattern.removeprefix('(?i)')}"
+    return f"{labels.get((field, pattern), plain)} {points:+d}"
+
+
+def conditions(rules: Iterable[Rule], fields: Mapping[str, Column], guards: Mapping[str, Column], names: Mapping[str, str] = MappingProxyType({}), labels: Mapping[tuple[str, str], str] = MappingProxyType({})) -> list[tuple[Column, int, str]]:
+    """(condition, points, label) of each rule (field, expression, points, guard); names and labels say what the labels show for fields and for single rules."""
     out = []
-    for field, pattern, points, guard in rules:
+    for rule in rules:
+        field, pattern, points, guard = rule
         hit = F.coalesce(fields[field].rlike(pattern), F.lit(False))
-        out.append((hit & guards[guard] if guard else hit, points, f"{field}:{pattern} {points:+d}"))
+        out.append((hit & guards[guard] if guard else hit, points, named(rule, names, labels)))
     return out
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatorium.plans import golden, records, serving, web
+from curatorium.plans import content, golden, records, serving, web
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**web.QUERIES, **serving.QUERIES, **records.QUERIES, **golden.QUERIES}
-ORACLES: dict[str, str] = {**web.ORACLES, **serving.ORACLES, **records.ORACLES, **golden.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**web.QUERIES, **serving.QUERIES, **records.QUERIES, **golden.QUERIES, **content.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES, **serving.ORACLES, **records.ORACLES, **golden.ORACLES, **content.ORACLES}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.functions import lexicon, text, urls
-from curatorium.operators import pages, quality, search
-from curatorium.plans.shared import quoted, registry, rules_sql, table
+from curatorium.operators import pages, quality, rules, search
+from curatorium.plans.shared import count_sql, labels_sql, quoted, registry, rules_sql, table
 from curatorium.sources import tables
 
 QUERIES, ORACLES, register = registry()
@@ -152,13 +152,57 @@ def link_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.scored_links(_made_links(spark, sf_dir)).select("page", "pos", "score", "excluded")
 
 
-@register("link_reasons")
+_LINK_FIELDS = {"text": "text", "heading": "heading", "url": "link"}
+_LINK_GUARDS = {
+    "weak": f"NOT regexp_matches(text, '{lexicon.ASSISTANCE}') OR regexp_matches(text, '事務補助|業務補助|作業補助')", "no_interest": "NOT regexp_matches(text, '利子補給|補助')", "pdf": "regexp_matches(link, '(?i)\\.pdf(?:\\z|\\?)')",
+}
+_PORTAL = r"regexp_matches(link, '(?i)^https?://([^/?#]*\.)?jgrants-portal\.go\.jp(?:[:/?#]|$)')"
+
+
+def _form_sql(url: str, title: str, body: str) -> str:
+    name, head = f"({title} || chr(10) || {url})", f"left({body}, 1200)"
+    guided = f"{count_sql(f'({name} || chr(10) || {head})', lexicon.GUIDELINES)} > 0"
+    named, worded = f"{count_sql(name, lexicon.FORMS)} > 0", f"{count_sql(head, lexicon.FORMS)} > 0"
+    return f"(({named} AND NOT {guided}) OR (({named} OR {worded}) AND NOT regexp_matches({title}, '{lexicon.ASSISTANCE}') AND NOT {guided} AND {count_sql(body, lexicon.DETAIL_SIGNALS)} = 0))"
+
+
+_REASONS_SQL = _LINK_SQL.replace("SELECT page, pos, CASE", f"""SELECT page, pos, link, text, heading, context, nav, excluded,
+  {labels_sql(lexicon.LINK_RULES, _LINK_FIELDS, _LINK_GUARDS, lambda r: rules.named(r, lexicon.LINK_FIELDS, lexicon.LINK_LABELS), True)} AS reasons,
+  {labels_sql(lexicon.LINK_RULES, _LINK_FIELDS, _LINK_GUARDS, lambda r: rules.named(r, lexicon.LINK_FIELDS, lexicon.LINK_LABELS), False, ("CASE WHEN nav THEN 'common_navigation_area -5' END",))} AS penalties, CASE""")
+_REASONS_SQL = f"""SELECT page, CAST(rank AS INTEGER) AS rank, link, score, reasons, penalties, score >= 8 AND NOT excluded AND NOT {_PORTAL} AND NOT {_form_sql("link", "text", "''")} AS should_crawl
+FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY score DESC, pos) AS rank FROM ({_REASONS_SQL})) WHERE rank <= 3"""
+
+
+@register("link_reasons", _REASONS_SQL)
 def link_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pages.scored_links(_made_links(spark, sf_dir))
     return search.top_per(rows, ["page"], 3, F.col("score").desc(), F.col("pos")).select("page", "rank", "link", "score", "reasons", "penalties", "should_crawl")
 
 
-@register("page_types")
+_EVERYTHING = "(title || chr(10) || url || chr(10) || left(body, {n}))"
+_PAGE_FIELDS = {"title": "title", "url": "url", "all": _EVERYTHING.format(n=5000)}
+_NOISE_CASES = (
+    ("regexp_matches(title, 'モニター')", "モニター募集の可能性が高い"), ("regexp_matches(title, '名簿|登録を募集|利用者の募集|募集について') AND NOT worded", "募集案内で補助制度ではない可能性が高い"), ("regexp_matches(title, '認定申請|保証[45]号|セーフティネット保証|危機関連保証')", "認定・保証申請ページの可能性が高い"),
+    ("regexp_matches(title, '商品券|キャンペーン') AND NOT worded", "商品券・キャンペーン案内の可能性が高い"), ("regexp_matches(title, '融資制度') AND NOT regexp_matches(title, '利子補給|補助金|助成金|支援金')", "融資制度のみの案内の可能性が高い"), ("regexp_matches(title, '導入計画') AND NOT worded", "導入計画のみの案内の可能性が高い"),
+    ("regexp_matches(title, 'ビジョン|計画策定|策定しました|報告書') AND NOT worded", "計画・報告ページの可能性が高い"), ("regexp_matches(title, '手当') AND NOT regexp_matches(title, '補助金|助成金|支援金|給付金')", "手当制度の案内の可能性が高い"), ("regexp_matches(title, '(?:制度について|支援について|のご案内)$') AND NOT worded", "制度案内ページの可能性が高い"),
+)
+#: Ten links, one of them of a subsidy: neither the many-links rules nor the one for titles of lists can hold.
+_TYPES_SQL = rf"""
+WITH a AS (SELECT p_partkey AS pos, 'https://www.city.example.jp' || {_nth(_PATHS, f'p_partkey % {len(_PATHS)} + 1')} AS url, {_nth(_WORDS, f'p_partkey % {len(_WORDS)} + 1')} AS title, CASE WHEN p_partkey % 3 = 0 THEN '補助対象: ' || p_name || ' 申請期間と補助率' ELSE p_name END AS body FROM part),
+b AS (SELECT *, {_EVERYTHING.format(n=2500)} AS everything, {_form_sql('url', 'title', 'body')} AS form, regexp_matches(url, '(?i)\.pdf(?:\?|$)') AS pdf, {count_sql('body', lexicon.DETAIL_SIGNALS)} AS signals, regexp_matches(title, '{lexicon.ASSISTANCE}') AS assists,
+  regexp_matches(title || chr(10) || url, '{lexicon.SUBSIDY_WORDS}') AS worded, title <> '' AND regexp_matches(title, '{"|".join(lexicon.INDEX_TITLES)}') AS generic, lower(regexp_replace(url, '/$', '')) AS u FROM a),
+c AS (SELECT *, regexp_matches(everything, '{lexicon.ASSISTANCE}') AS assisted, NOT (regexp_matches(u, '\.html?$') AND NOT regexp_matches(u, '/index\.html?$') AND NOT generic AND (assists OR signals >= 1))
+  AND (generic OR regexp_matches(u, '/(?:index\.html?|hojokin|josei|sangyou|sangyo|shien|life/[0-9]+|theme[0-9]+)/?$|/page/theme[0-9]+\.html$')) AND signals < 4 AS listed FROM b),
+d AS (SELECT *, CASE WHEN pdf AND NOT form AND {count_sql('everything', lexicon.GUIDELINES)} > 0 THEN 'pdf_guideline' WHEN pdf THEN 'application_form'
+  WHEN listed THEN CASE WHEN regexp_matches(title || ' ' || url, '(?i)産業|商工|農業|観光|住宅|環境|kurashi|sangyo|life') THEN 'category_index' ELSE 'municipal_index' END
+  WHEN form THEN 'application_form' WHEN regexp_matches(title || chr(10) || url, '{"|".join(lexicon.NOISE)}') AND NOT assisted THEN 'noise_page' WHEN regexp_matches(everything, '{lexicon.PERSONAL_ASSISTANCE}') AND assisted THEN 'personal_assistance'
+  WHEN regexp_matches(url, '(?i)\.html?$') AND regexp_matches(url, '(?i)hojo|hojokin|josei|shien') AND (signals >= 1 OR assisted OR contains(everything, '支援')) THEN 'subsidy_detail' WHEN signals >= 2 AND assisted THEN 'subsidy_detail' ELSE 'unknown' END AS page_type FROM c)
+SELECT pos, url, title, body, page_type, {rules_sql(lexicon.PAGE_RULES, _PAGE_FIELDS, {'weak': f"NOT regexp_matches({_EVERYTHING.format(n=5000)}, '{lexicon.ASSISTANCE}')", 'pdf': 'pdf'})}
+  + CASE WHEN length(trim(body)) BETWEEN 1 AND 299 THEN -5 ELSE 0 END + CASE WHEN form THEN -5 ELSE 0 END + CASE WHEN page_type IN ('subsidy_detail', 'pdf_guideline') THEN 2 ELSE 0 END AS score,
+  CASE {" ".join(f"WHEN {test} THEN {quoted(word)}" for test, word in _NOISE_CASES)} ELSE '' END AS noise FROM d"""
+
+
+@register("page_types", _TYPES_SQL)
 def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and score of made pages: titles and addresses as in link_scores, a detail word in every third body."""
     rows = _made_links(spark, sf_dir)
