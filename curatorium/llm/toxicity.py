@@ -19,10 +19,12 @@ from pyspark.sql import functions as F
 
 from curatorium.llm import hashing
 from curatorium.llm.quality import remainder
+from curatorium.llm.shared import written
 
 MAX_EXAMPLES = 20_000  # labelled rows that become examples, in the mean; all where there are fewer
 WORDS = 2048  # words at most that span the vectors
 LEAST_CHI, LEAST_SEEN = 15.0, 3  # a word's chi-square statistic and number of examples, at least
+LIFT = 3.0  # times the general share of toxic examples that the share among a word's own must be: long texts hold more of every word, and more of them are toxic
 NEAREST = 15
 BLOCK = 64  # examples in a block of the index
 NEAR = 0.1  # distance at which a neighbour's weight has halved
@@ -99,21 +101,24 @@ class Index:
         bound = weight @ self.most[word]
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
-        score = np.zeros(len(self.doc_id))
-        floor, done, step = 0.0, 0, 4
+        score = np.zeros(self.most.shape[1] * BLOCK)
+        by_block = score.reshape(-1, BLOCK)
+        best, floor, done, step = np.zeros(0), 0.0, 0, 4
         while done < len(order) and bound[order[done]] >= floor - _SLACK:
             taken = order[done : done + step]
             taken = np.sort(taken[bound[taken] >= floor - _SLACK])
-            for t, w in zip(word, weight, strict=True):
-                first, last = self.start[t, taken], self.start[t, taken + 1]
-                some = last > first
-                for a, b in zip(first[some], last[some], strict=True):
-                    score[self.example[a:b]] += w * self.weight[a:b]
-            done, step = done + step, 2 * step
+            for t, w in zip(word.tolist(), weight.tolist(), strict=True):
+                first = self.start[t, taken]
+                long = self.start[t, taken + 1] - first
+                at = np.arange(long.sum()) + np.repeat(first - np.cumsum(long) + long, long)
+                score[self.example[at]] += w * self.weight[at]
             if without is not None:
                 score[without] = 0.0
-            if np.count_nonzero(score) >= k:
-                floor = np.partition(score, -k)[-k]
+            best = np.concatenate((best, by_block[taken].ravel()))
+            if len(best) > k:
+                best = np.partition(best, -k)[-k:]
+                floor = best[0]
+            done, step = done + len(taken), 2 * step
         found = np.flatnonzero(score)
         found = found[np.lexsort((self.doc_id[found], -np.round(score[found], 9)))][:k]
         return found, score[found]
@@ -195,7 +200,8 @@ def _telling_words(examples: DataFrame) -> np.ndarray:
     seen = examples.select("text", "toxic").mapInArrow(_word_sets, "word long, toxic long").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= LEAST_SEEN)
     away = F.col("t") * (n - t) - (F.col("n") - F.col("t")) * t  # t(n-t) times the difference of the shares
     chi = n * away * away / (t * (n - t) * F.col("n") * F.greatest(F.lit(n) - F.col("n"), F.lit(1.0)))
-    best = seen.select("word", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "word").limit(WORDS).toPandas()
+    telling = F.col("t") * n >= F.col("n") * min(LIFT * t, 0.5 * (n + t))
+    best = seen.where(telling).select("word", chi.alias("chi")).where(F.col("chi") >= LEAST_CHI).orderBy(F.col("chi").desc(), "word").limit(WORDS).toPandas()
     return np.sort(best["word"].to_numpy(dtype=np.int64).view(np.uint64))
 
 
@@ -229,7 +235,7 @@ def _example_vectors(examples: DataFrame, vocabulary: Vocabulary) -> pd.DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(c).slice(first, len(off) - 1) for c in ("doc_id", "toxic")] + lists, names=["doc_id", "toxic", "word", "weight"])
 
     rows = examples.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, word array<long>, weight array<double>")
-    return rows.where("size(word) > 0").orderBy("doc_id", "toxic").toPandas()
+    return rows.where("size(word) > 0").toPandas().sort_values(["doc_id", "toxic"], kind="stable")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
@@ -237,7 +243,7 @@ def train(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES)
 
     Labels that are null are left out; of several labels of a doc_id the highest counts. Without examples of both kinds every text gets the same chance.
     """
-    examples = _examples(docs, labels, max_examples)
+    examples = written(_examples(docs, labels, max_examples))  # read several times; some max_examples texts
     vocabulary = Vocabulary(_telling_words(examples))
     size = len(vocabulary.hashes)
     many, seen = _document_frequency(docs, vocabulary) if size else (0, np.zeros(0))
@@ -272,7 +278,7 @@ def _own_votes(examples: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarra
                         own.append(int(batch["toxic"].iloc[first + k]))
             yield pd.DataFrame({"vote": votes, "toxic": own})
 
-    rows = examples.select("doc_id", "text", "toxic").mapInPandas(run, "vote double, toxic int").orderBy("vote", "toxic").toPandas()
+    rows = examples.select("doc_id", "text", "toxic").mapInPandas(run, "vote double, toxic int").toPandas().sort_values(["vote", "toxic"], kind="stable")
     return rows["vote"].to_numpy(dtype=float), rows["toxic"].to_numpy(dtype=int)
 
 
