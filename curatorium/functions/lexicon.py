@@ -207,3 +207,75 @@ MENU_WORDS = ("検索", "組織", "分野", "目的", "防災", "観光", "県
 IMPORTANT_WORDS = ("補助金", "助成金", "補助事業", "公募", "募集", "申請", "対象", "補助対象", "補助率", "補助額", "上限", "受付", "期間", "締切", "要領", "交付", "事業者", "愛媛県")
 SECTION_WORDS = "概要|目的|対象|補助対象|申請|募集|公募|補助率|補助額|受付期間|提出先"
 TITLE_PARTS = "年度|事業|補助|助成|公募|募集"
+
+#: Editorial articles: kinds of articles and programmes, and what their titles and texts are searched for.
+ARTICLE_TYPES = ("single_program", "feature", "feasibility_study", "equipment", "digital", "employment", "research", "marketing")
+PROGRAM_KINDS = ("subsidy", "incentive", "benefit", "loan", "other")
+ARTICLE_TYPE_LABELS = {
+    "single_program": "個別制度記事", "feature": "特集記事", "feasibility_study": "FS・実現可能性調査", "equipment": "設備投資", "digital": "IT・デジタル化", "employment": "雇用・人材", "research": "研究開発", "marketing": "販路開拓",
+}
+PROGRAM_KIND_LABELS = {"subsidy": "補助金・助成金", "incentive": "奨励金", "benefit": "給付金・支援金", "loan": "融資・利子補給", "other": "その他の支援制度"}
+ARTICLE_TYPE_WORDS = (
+    ("feasibility_study", "(?i)FS\\s*調査|フィージビリティ|実現可能性調査|調査事業"), ("equipment", "設備投資|設備導入|省エネ|太陽光|蓄電池|機械"), ("digital", "(?i)IT|DX|デジタル|システム|ソフトウェア|AI|クラウド"), ("employment", "雇用|採用|人材|賃上げ|研修|リスキリング"),
+    ("research", "研究|開発|実証|試作|技術開発"), ("marketing", "販路|販売促進|展示会|広告|PR|マーケティング|売上"),
+)
+PROGRAM_KIND_WORDS = (("incentive", "奨励金|立地奨励|企業立地|雇用奨励|立地促進"), ("benefit", "給付金|支援金|手当|商品券|給付事業"), ("loan", "融資|貸付|利子補給|信用保証料|保証料補助"), ("subsidy", "補助金|助成金|補助事業|助成事業"))
+FEATURE = "特集"
+PORTAL_HOST = "(?i)ehime-hojokin\\.jp"
+PORTAL_PATHS = (
+    "(?i)^/(?:$|[?#]|ehime-subsidy/?(?:[?#].*)?$|search(?:[?#].*)?$|simulator/?(?:[?#].*)?$|experts/?(?:[?#].*)?$|columns/?(?:[?#].*)?$|features/?(?:[?#].*)?$|beginners/?(?:[?#].*)?$|feature/[a-z0-9-]+/?(?:[?#].*)?$|purpose/[a-z0-9-]+/?(?:[?#].*)?$"
+    "|area/[a-z0-9-]+/?(?:[?#].*)?$|column/[a-z0-9-]+/?(?:[?#].*)?$|subsidy/[0-9]+/?(?:[?#].*)?$)"
+)
+ARTICLE = {
+    "year": "令和\\s*[0-9]+\\s*年度|20[0-9]{2}\\s*年",
+    "amount": "補助率|上限額|補助上限|補助額|給付額|助成額|金額|上限",
+    "money": "%|％|円|万円|千円|分の[一二三四五六七八九0-9０-９]|[0-9０-９]+\\s*/\\s*[0-9０-９]+|[0-9０-９]+\\s*割|以内",
+    "official": "公式|募集要項|公募要領|交付要綱|自治体|実施機関|窓口|申請前|最新情報|確認日",
+    "checked": "確認日|更新日|掲載日|参照日|閲覧日|令和\\s*[0-9]+\\s*年\\s*[0-9]+\\s*月|20[0-9]{2}[/-][0-9]{1,2}[/-][0-9]{1,2}|20[0-9]{2}年[0-9]{1,2}月[0-9]{1,2}日",
+    "deadline": "締切|期限|申請期間|公募期間|受付期間|募集期間|第\\s*[0-9０-９一二三四五六七八九]+\\s*次\\s*公募",
+    "deadline_detail": "締切|期限|申請期間|公募期間|受付期間|募集期間|開始|終了|必着|消印有効|令和\\s*[0-9]+\\s*年\\s*[0-9]+\\s*月|20[0-9]{2}[/-][0-9]{1,2}[/-][0-9]{1,2}|20[0-9]{2}年[0-9]{1,2}月[0-9]{1,2}日",
+    "round": "第\\s*[0-9０-９一二三四五六七八九]+\\s*次|一次|二次|三次|四次|公募回|回次",
+    "implementer": "実施機関|所管|事務局|主催|運営主体|自治体|国|県|市|町|村|愛媛県|経済産業省|中小企業庁|商工会議所|商工会",
+    "offering": "第\\s*[0-9０-９一二三四五六七八九]+\\s*次\\s*公募|令和\\s*[0-9]+\\s*年度.{0,30}(補助金|助成金|給付金|支援事業|調査事業|補助事業)|[一-龥ぁ-んァ-ンA-Za-z0-9０-９・ー]{6,}(補助金|助成金|給付金|支援事業|調査事業|補助事業)",
+    "generic": "一覧|まとめ|探し方|とは|解説|基礎|選び方|向けの補助金|使える補助金|補助金を探す",
+    "study": "(?i)FS\\s*調査|フィージビリティ|実現可能性調査|調査事業",
+    "study_detail": "調査計画|実現可能性|市場調査|事業化可能性|検証|調査費|専門家|委託調査|報告書|計画策定",
+    "equipment": "設備投資|設備導入|機械導入|機器購入|設備購入|購入費|導入費|省エネ設備|生産設備|システム導入",
+    "definite": "(補助率|上限額|補助上限|補助額|給付額|助成額|金額|令和\\s*[0-9]+\\s*年度|20[0-9]{2}\\s*年).{0,24}(です|となります|対象です|支給されます|補助されます|受けられます|使えます|利用できます)",
+    "risky": "(必ず|絶対).{0,12}(対象|採択|受給|支給|受け取|もらえ|通る|使える)|誰でも.{0,12}(対象|もらえ|使える|受給|受け取)",
+    "memo": "この記事の作成・確認方針|AIを下書き・整理に活用し、公開前に運営者が|本文内の外部確認リンク|本文内に外部リンクがない場合も|qualityScore|fatalIssues|shouldRegenerate|shouldHumanReview|管理用メモ",
+    "local": "愛媛県|県内|松山市|今治市|宇和島市|新居浜市|西条市|大洲市|西予市|八幡浜市|四国中央市|商工会議所|商工会|地域事業者|えひめ補助金ポータル",
+    "contract": "(申請前|交付申請前|交付決定前|事前着手届).{0,60}(契約|発注|購入|着手)|(?:契約|発注|購入|着手).{0,60}(申請前|交付申請前|交付決定前|事前着手届|制度ごと|公募要領|実施機関|確認)",
+    "target": "対象者|対象になる|対象となる|対象の方|事業者|個人事業主|中小企業|法人|市町村|県内事業者",
+    "expense": "対象経費|補助対象経費|経費|設備|購入|改修|委託|広告|人件費|旅費|受講費|システム|ソフトウェア|機器",
+    "excluded": "対象外|対象にならない|対象外経費|注意が必要な経費|補助対象外",
+    "action": "相談|診断|探す|確認する|問い合わせ|専門家|シミュレーター|次のステップ|公式ページで確認|補助金を探す|申請前に確認",
+    "project": "対象事業|補助対象事業|取り組み|取組|事業内容|対象となる事業|支援対象事業",
+    "conditions": "対象要件|交付要件|支給要件|立地要件|算定方法|交付条件|支給条件|申請条件",
+    "start": "(契約|発注|購入|着手).{0,60}(制度ごと|交付決定前|事前着手|公募要領|実施機関|確認)|(?:交付決定前|事前着手届|公募要領).{0,60}(契約|発注|購入|着手|経費)",
+    "industry_claim": "建設業、?製造業、?サービス業|建設業・製造業・サービス業|産業廃棄物処理業者|廃棄物処理業者|リサイクル業者",
+    "expense_claim": "新規設備導入費|研修費|調査費|設備投資|新技術導入|環境対策費",
+    "excluded_claim": "(中古品|人件費|管理費|着手済み経費).{0,24}(対象外|補助対象外|対象にならない)|(?:対象外|補助対象外).{0,24}(中古品|人件費|管理費|着手済み経費)",
+    "excluded_fact": "中古品|人件費|管理費|着手済み経費",
+    "fiction": "(?:株式会社|有限会社)[A-ZＡ-Ｚ](?:社)?|架空(?:の|事例|企業)|仮想事例|モデルケース|導入効果.{0,60}(?:円|万円|億円)",
+    "number_claim": "(補助率|上限額|補助上限|補助額|給付額|助成額|金額|申請締切|締切|公募期間|受付期間|令和\\s*[0-9]+\\s*年度|20[0-9]{2}\\s*年).{0,40}?(%|％|円|万円|千円|令和\\s*[0-9]+\\s*年|20[0-9]{2}[/-][0-9]{1,2}|20[0-9]{2}年[0-9]{1,2}月|[0-9]{1,3}\\s*/\\s*[0-9]{1,3}|[0-9]+\\s*割)",
+    "single": "この補助金|この制度|上限額が設定されています|一定の補助率が適用されます|令和\\s*[0-9]+\\s*年度においても実施されています|20[0-9]{2}\\s*年においても実施されています",
+    "rate_title": "補助率",
+    "cap_title": "上限額|補助上限|補助額|給付額|助成額|上限",
+    "any_amount_title": "金額",
+    "method": "算定方法|算定基準|計算方法",
+    "evidence": "タイトル|機関|実施機関|概要|対象|経費|上限|締切|募集|公募|確認日|交付要綱|公募要領",
+    "claimed_field": "対象者|対象業種|対象経費|対象外経費",
+    "checklist": "(?i)チェックリスト|確認リスト|<ul[\\s>]|<ol[\\s>]",
+}
+REQUIRED_FACTS = {
+    "single_program": ("officialName", "administeringBody", "officialSources", "eligibleApplicants"), "feature": ("officialSources",), "feasibility_study": ("officialSources", "eligibleProjects"), "equipment": ("officialSources", "eligibleExpenses"),
+    "digital": ("officialSources", "eligibleExpenses"), "employment": ("officialSources", "eligibleApplicants"), "research": ("officialSources", "eligibleProjects"), "marketing": ("officialSources", "eligibleProjects"),
+}
+REQUIRED_OF_PROGRAM = {
+    "subsidy": ("eligibleExpenses", "fundingDetails"), "incentive": ("eligibilityConditions", "calculationMethod"), "benefit": ("eligibilityConditions", "paymentConditions"), "loan": ("eligibilityConditions", "fundingDetails"), "other": ("programDetails", "fundingDetails"),
+}
+FACT_LABELS = {
+    "officialName": "具体的な制度名", "administeringBody": "実施機関", "officialSources": "公式URLと根拠メモ", "eligibleApplicants": "対象者", "eligibleProjects": "対象事業", "eligibleExpenses": "対象経費", "eligibilityConditions": "交付・支給要件", "calculationMethod": "算定方法",
+    "paymentConditions": "支給条件", "fundingDetails": "補助率・上限額・算定方法のいずれか", "programDetails": "対象事業・交付要件・対象経費のいずれか", "subsidyRate": "補助率", "subsidyCap": "上限額", "applicationDeadline": "申請期間・締切",
+}
