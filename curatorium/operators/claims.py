@@ -83,6 +83,6 @@ def cleaned(claims: Column) -> Column:
 
 
 def table(articles: DataFrame, *key: str, claims: str = "claims") -> DataFrame:
-    """A row for each claim: the key columns, place, claim, status, source_ids, reason, and the yen, the rate and the months that it names, by which claims of different articles can be joined."""
-    rows = articles.select(*key, F.posexplode(claims).alias("place", "c")).select(*key, "place", "c.*")
+    """A row for each claim: the key columns, place, claim, status, source_ids, reason, and the yen, the rate and the months that it names, by which claims of different articles can be joined. An article without claims has one row with nulls."""
+    rows = articles.select(*key, F.posexplode_outer(claims).alias("place", "c")).select(*key, "place", "c.*")
     return rows.select("*", quality.amounts(F.col("claim")).alias("yen"), F.regexp_extract("claim", r"([0-9０-９]+\s*分の\s*[0-9０-９]+|[0-9]+\s*/\s*[0-9]+|[0-9.]+\s*[%％]|[0-9]+\s*割)", 1).alias("rate"), F.regexp_extract_all(tight(F.col("claim")), F.lit(_MONTH), 0).alias("months"))
