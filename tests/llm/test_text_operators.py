@@ -463,6 +463,19 @@ def test_passages_behind_common_words(spark):
         assert not [k for k, _ in rows if not covers(got[k], 30, 82)]
 
 
+@pytest.mark.parametrize(("common", "long", "others"), [(20, 55, 300), (30, 55, 600), (33, 50, 600), (40, 55, 300)])
+def test_passages_behind_a_line_that_ends_others(spark, common, long, others):
+    """A line that many texts end with stands at the head of a run that two texts share: their first partners lie on its other side, the twin further on."""
+    line = words(80_000 + common, common)
+    rows = [(10_000 + k, f"{words(81_000 + k, 60)} {line}") for k in range(others)]
+    for k in range(30):
+        own = words(90_000 + 100 * common + k, long - common)
+        rows += [(2 * k + j, f"{line} {own} {words(95_000 + 100 * common + 2 * k + j, 60)}") for j in (0, 1)]
+    for got in passages_of(spark, rows):
+        assert not [k for k, _ in rows if k < 10_000 and not covers(got[k], 0, long)]
+        assert not [k for k, _ in rows if k >= 10_000 and got[k]]
+
+
 def test_passages_over_edits(spark):
     """Near copies of 50 to 100 words at a similarity of 0.75 or more are found whole, wherever their edits stand."""
     def changed(w, edits):
