@@ -279,3 +279,18 @@ FACT_LABELS = {
     "officialName": "具体的な制度名", "administeringBody": "実施機関", "officialSources": "公式URLと根拠メモ", "eligibleApplicants": "対象者", "eligibleProjects": "対象事業", "eligibleExpenses": "対象経費", "eligibilityConditions": "交付・支給要件", "calculationMethod": "算定方法",
     "paymentConditions": "支給条件", "fundingDetails": "補助率・上限額・算定方法のいずれか", "programDetails": "対象事業・交付要件・対象経費のいずれか", "subsidyRate": "補助率", "subsidyCap": "上限額", "applicationDeadline": "申請期間・締切",
 }
+
+#: Texts of details: what counts as no value, labels that introduce a section, and the ones whose sections are looked for.
+UNKNOWN_WORDS = ("", "-", "ー", "—", "不明", "未設定", "なし", "該当なし", "n/a", "na", "null", "undefined")
+SECTION_LABELS = (
+    "制度名", "補助金のキャッチコピー", "キャッチコピー", "目的", "概要", "制度の概要", "事業の目的", "対象事業者", "対象者", "補助対象者", "対象経費", "補助対象経費", "申請期間", "募集期間", "公募期間", "受付期間", "提出期限", "お問い合わせ", "連絡先", "提出先", "提出方法", "参照ホームページ", "公式URL", "詳細URL",
+)
+
+#: Values of an extraction that may replace a stored one.
+NO_AMOUNT = ("", "不明", "未定", "なし", "無し", "null", "undefined", "-", "ー")
+REFERENCE_ONLY = "参照|要領|サマリー|公募要領|公式|確認|別紙|募集要項"
+DATED = "[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日|[0-9]{4}[/-][0-9]{1,2}[/-][0-9]{1,2}|令和[0-9]+年[0-9]{1,2}月[0-9]{1,2}日|令和[元一二三四五六七八九十]+年[0-9]{1,2}月[0-9]{1,2}日"
+TITLE_LIKE = "補助金|助成金|給付金|支援金|事業|支援|導入|設備|公募|令和|年度"
+UNDATED_PERIOD = "随時|通年|予算に達し次第|受付中|募集中|期限なし"
+KNOWN_REGION = "全国|愛媛|四国|松山市|今治市|宇和島市|八幡浜市|新居浜市|西条市|大洲市|伊予市|四国中央市|西予市|東温市|上島町|久万高原町|松前町|砥部町|内子町|伊方町|松野町|鬼北町|愛南町"
+CONCRETE_RATE = "[0-9０-９]+分の[0-9０-９]+|[0-9０-９]+/[0-9０-９]+|[0-9０-９]+%|[0-9０-９]+％|定額|全額|以内|以下"

@@ -20,10 +20,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/curatorium/{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables that this application has written; results that read them must have been saved before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the shared folder and read it back: a cut in the lineage that survives lost executors and has size statistics."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/curatorium/{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curatorium.plans import articles, content, golden, records, runs, serving, web
+from curatorium.plans import articles, content, golden, merging, records, runs, serving, web
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**web.QUERIES, **serving.QUERIES, **records.QUERIES, **golden.QUERIES, **content.QUERIES, **articles.QUERIES, **runs.QUERIES}
-ORACLES: dict[str, str] = {**web.ORACLES, **serving.ORACLES, **records.ORACLES, **golden.ORACLES, **content.ORACLES, **articles.ORACLES, **runs.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**web.QUERIES, **serving.QUERIES, **records.QUERIES, **golden.QUERIES, **content.QUERIES, **articles.QUERIES, **runs.QUERIES, **merging.QUERIES}
+ORACLES: dict[str, str] = {**web.ORACLES, **serving.ORACLES, **records.ORACLES, **golden.ORACLES, **content.ORACLES, **articles.ORACLES, **runs.ORACLES, **merging.ORACLES}

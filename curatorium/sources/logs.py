@@ -16,7 +16,7 @@ COUNTERS = {
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, kind, modified, at, line) of the log files in a folder; at orders a file's lines, in however many parts it is read."""
+    """(file, kind, modified, at, line) of the log files in a folder; at orders a file's lines, in however many parts it is read. A line end at the end of a file begins no further line."""
     rows = spark.read.text(folder).select("value", "_metadata.file_name", "_metadata.file_modification_time", "_metadata.file_block_start")
     rows = rows.where(F.col("file_name").rlike(NAMES)).withColumn("at", F.struct("file_block_start", F.monotonically_increasing_id().alias("id")))
     return rows.select(F.col("file_name").alias("file"), F.regexp_extract("file_name", NAMES, 1).alias("kind"), F.col("file_modification_time").alias("modified"), "at", F.regexp_replace("value", "\r\\z", "").alias("line"))

@@ -29,7 +29,7 @@ def test_records_and_their_side_table(spark):
     rows = [(1, '{"data":{"id":7,"max_amount":"5万円"}}', "x"), (2, "```JSON\n{\"items\":[{\"id\":\"a\"},{}]}\n```", "y"), (3, "{", "z"), (4, "  ", "z"), (5, "[1]", "z"), (6, '{"result":[{"name":1}]}', "z"), (7, 'text {"a":{"b":1}} {', "z")]
     good, bad = payloads.records(spark.createDataFrame(rows, "k int, raw string, id0 string"))
     assert sorted((r["k"], r["place"], r["id"], r["amount_text"], r["id0"]) for r in good.collect()) == [(1, 0, "7", "5万円", "x"), (2, 0, "a", None, "y")]
-    assert {r["k"]: r["reason"] for r in bad.where("reason <> ''").collect()} == {3: "not JSON", 4: "empty", 5: "no record", 6: "no id", 7: "not JSON"}
+    assert {r["k"]: r["reason"] for r in bad.where("reason <> ''").collect()} == {3: "not JSON", 4: "empty", 5: "no record", 6: "no id", 7: "no record"}
 
 
 def queue(links, seeds, refused, max_urls, most):
@@ -99,7 +99,7 @@ def test_logs_of_a_folder(spark, tmp_path):
     r = random.Random(3)
     texts = {}
     for k, name in enumerate(("manual-1.log", "manual-2.log", "weekly-9.log", "weekly-7.log", "other.log", "manual-3.txt")):
-        body = [r.choice(("✅ 追加: 3", "inserted: 12", "⏭ スキップ：4", "❌ エラー: 1", "更新: 5 errors：2", "line", "")) for _ in range(3000)]
+        body = [r.choice(("✅ 追加: 3", "inserted: 12", "⏭ スキップ：4", "❌ エラー: 1", "更新: 5 errors：2", "line", "")) for _ in range(3000)] + ["end"]
         texts[name] = body
         (tmp_path / name).write_text("\r\n".join(body) if k % 2 else "\n".join(body))
         os.utime(tmp_path / name, (1_700_000_000 + 100 * k, 1_700_000_000 + 100 * k))
@@ -121,3 +121,13 @@ def test_logs_of_a_folder(spark, tmp_path):
             assert x[field] == (found[0] if found else None)
     kinds = {x["line"]: x["c"] for x in rows.select("line", logs.line_class(F.col("line")).alias("c")).distinct().collect()}
     assert kinds["✅ 追加: 3"] == "success" and kinds["⏭ スキップ：4"] == "warning" and kinds["❌ エラー: 1"] == "error" and kinds["line"] == "info"
+
+
+def test_written_tables_are_discarded(spark):
+    from curatorium.operators.graph import discard, shared_dir
+
+    written(spark.range(3))
+    folder = shared_dir(spark).removeprefix("file://") + "/curatorium/" + spark.sparkContext.applicationId
+    assert os.listdir(folder)
+    discard(spark)
+    assert not os.path.exists(folder) and written(spark.range(3)).count() == 3
