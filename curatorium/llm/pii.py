@@ -3,7 +3,7 @@
 Detected entities (mail addresses, telephone and payment-card numbers, network addresses, national numbers, account numbers, and names after a
 title, with all mentions of these in the same text) are brought to a canonical form, so that all mentions of one entity, however written, get one surrogate.
 A surrogate is drawn by a keyed hash and keeps the kind, the script, the length and the format: letters stay letters of their alphabet and case,
-digits stay digits of theirs, a card keeps a valid check digit, a network address stays valid, and a given name comes from the names of the
+digits stay digits of theirs, a card keeps a valid check digit, an account number its country and valid check digits, a telephone number its calling code, a network address stays valid, and a given name comes from the names of the
 title's gender. The surrogates of all entities are then checked against one another and against the entities themselves; those that collide
 are drawn anew until all are distinct.
 """
@@ -30,7 +30,7 @@ _TITLE = rf"(?<![\p{{L}}-])(?:{_MALE}|{_FEMALE}|{_NEUTRAL})\.?\x20"
 
 @dataclass(frozen=True)
 class Kind:
-    """A kind of entity: its expression and how its surrogates are made (`digits`, `card`, `address`, `mail` or `name`)."""
+    """A kind of entity: its expression and how its surrogates are made (`digits`, `account`, `card`, `address`, `hex`, `mail` or `name`). Expressions are bounded and do not nest repeats without an end, so a long run of whatever signs costs time in proportion to its length."""
 
     name: str
     pattern: str
@@ -40,12 +40,17 @@ class Kind:
 # Each expression first looks ahead at what is cheap to test, and then behind.
 # Of overlapping entities the one that starts first stays; of those, the kind listed first.
 KINDS = (
-    Kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", "mail"),
-    Kind("account", r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "digits"),
-    Kind("card", r"(?=[0-9]{4})(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9A-Za-z])", "card"),
-    Kind("phone", r"(?=[+(0-9])(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}(?:[\x20.-]?\([0-9]{1,4}\))?(?:[\x20.-]?[0-9]{2,4}){2,5}|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])", "digits"),
+    Kind("email", r"[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}+", "mail"),
+    Kind("account", r"(?=[A-Z]{2}[0-9]{2})(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "account"),
+    Kind("card", r"(?=[0-9]{4})(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3}|3[47][0-9]{2}[\x20-][0-9]{6}[\x20-][0-9]{5})(?![0-9A-Za-z])", "card"),
+    Kind(
+        "phone",
+        r"(?=[+(0-9])(?<![0-9A-Za-z+.])(?:\+(?=[0-9](?:[\x20.()-]{0,2}[0-9]){6})[0-9]{1,3}(?:[\x20.-]?\([0-9]{1,4}\))?(?:[\x20.-]?[0-9]{1,4}){2,5}|\([0-9]{3}\)\x20?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|0[0-9]{2,4}\x20[0-9]{3,4}\x20[0-9]{3,4})(?![0-9A-Za-z])",
+        "digits",
+    ),
     Kind("national", r"(?=[0-9]{3}-)(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])", "digits"),
     Kind("address", rf"(?=[0-9]{{1,3}}\.)(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9]|\.[0-9])", "address"),
+    Kind("address6", r"(?=[0-9A-Fa-f]{0,3}[0-9])(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])", "hex"),
     Kind("given_m", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}-])(?:{_MALE})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
     Kind("given_f", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}-])(?:{_FEMALE})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
     Kind("given_n", rf"(?=\p{{Lu}})(?<=(?<![\p{{L}}-])(?:{_NEUTRAL})\.?\x20){_WORD}(?=\x20{_WORD})", "name"),
@@ -60,6 +65,11 @@ ALPHABETS = (
     "٠١٢٣٤٥٦٧٨٩", "０１２３４５６７８９",
 )
 
+#: Calling codes of one and of two digits; all others have three.
+CALLING_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
+
 #: Given names by gender, for names in Latin letters; in other scripts, and where more are needed, letters are drawn.
 GIVEN = {
     "given_m": ("Alan", "Boris", "Carl", "David", "Emil", "Frank", "Georg", "Henry", "Ivan", "Jonas", "Kurt", "Louis", "Mario", "Nils", "Oscar", "Peter", "Ralph", "Simon", "Thomas", "Walter"),
@@ -80,6 +90,18 @@ def _luhn(value: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), part), F.lit(0), lambda a, d: a + d)
 
 
+def _check_digits(country: Column, rest: Column) -> Column:
+    """The two digits that make an account number of a country valid: with letters as 10 to 35, the number read from its fifth sign on is 1 modulo 97."""
+    turned = F.concat(rest, country, F.lit("00"))
+
+    def step(left, i):
+        c = F.substring(turned, i + 1, F.lit(1))
+        letter = F.instr(F.lit(ALPHABETS[1]), c)
+        return F.when(letter > 0, (left * 100 + letter + 9) % 97).otherwise((left * 10 + F.instr(F.lit(ALPHABETS[2]), c) - 1) % 97)
+
+    return F.lpad((98 - F.aggregate(F.sequence(F.lit(0), F.length(turned) - 1), F.lit(0), step)).cast("string"), 2, "0")
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """docs with a column entities: (start, place, end, kind) of what is found, without overlaps, by start. Card numbers have a valid check digit."""
     docs = docs.drop("entities")
@@ -125,8 +147,9 @@ def canonical(kind: Column, value: Column) -> Column:
     """What all mentions of one entity have in common."""
     names = {k.name: k.form for k in KINDS}
     digits, tight, lower = F.regexp_replace(value, "[^0-9]", ""), F.regexp_replace(value, r"\x20", ""), F.lower(value)
-    numbers = [k for k, f in names.items() if f in ("digits", "card") and k != "account"]
-    return F.when(kind.isin(numbers), digits).when(kind == "account", tight).when(kind == "email", lower).otherwise(F.when(kind == "address", value).otherwise(F.initcap(lower)))
+    numbers = [k for k, f in names.items() if f in ("digits", "card")]
+    called = F.when(value.startswith("+"), F.concat(F.lit("+"), digits)).otherwise(digits)
+    return F.when(kind == "phone", called).when(kind.isin(numbers), digits).when(kind == "account", tight).when(kind.isin("email", "address6"), lower).otherwise(F.when(kind == "address", value).otherwise(F.initcap(lower)))
 
 
 def _drawn(key: str, attempt: Column) -> Column:
@@ -163,7 +186,11 @@ def _surrogate(key: str, attempt: Column) -> Column:
     mail = F.concat(_like(local, hexes), more, F.lit("@"), _like(host, F.sha2(F.concat(F.lit(key), domain), 256)), F.lit("."), top)
     stem = _like(F.substring(canon, F.lit(1), F.length(canon) - 1), hexes)
     check = (10 - _luhn(F.concat(stem, F.lit("0"))) % 10) % 10
-    numbers = _like(canon, hexes)
+    code = F.when(canon.startswith("+"), F.regexp_extract(canon, rf"^\+(?:{'|'.join(CALLING_CODES)}|[0-9]{{3}})", 0)).otherwise(F.lit(""))
+    numbers = F.concat(code, _like(F.substring(canon, F.length(code) + 1, F.length(canon)), hexes))
+    country, rest = F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), F.length(canon)), hexes)
+    account = F.concat(country, _check_digits(country, rest), rest)
+    hexadecimal = F.array_join(F.transform(F.sequence(F.lit(0), F.length(canon) - 1), lambda i: F.when(F.substring(canon, i + 1, F.lit(1)) == ":", ":").otherwise(F.substring(F.lit("0123456789abcdef"), _number(hexes, i) % 16 + 1, F.lit(1)))), "")
     card = F.concat(stem, check.cast("string"))
     address = F.concat_ws(".", *[(_number(hexes, F.lit(i)) % (223 if not i else 256) + (1 if not i else 0)).cast("string") for i in range(4)])
     latin = canon.rlike("^[A-Za-zÀ-ÿ'’-]+$")
@@ -171,7 +198,7 @@ def _surrogate(key: str, attempt: Column) -> Column:
     for kind, names in GIVEN.items():
         listed = F.element_at(F.array(*map(F.lit, names)), _number(hexes, F.lit(9)) % len(names) + 1)
         name = F.when((F.col("kind") == kind) & latin & (attempt == 0), listed).otherwise(name)
-    out = F.when(_form("mail"), mail).when(_form("card"), card).when(_form("address"), address).when(_form("name"), F.concat(name, more))
+    out = F.when(_form("mail"), mail).when(_form("card"), card).when(_form("address"), address).when(_form("name"), F.concat(name, more)).when(_form("account"), account).when(_form("hex"), hexadecimal)
     return out.otherwise(numbers)
 
 
@@ -210,7 +237,7 @@ def _rendered(value: Column, kind: Column, surrogate: Column) -> Column:
     def place(i):
         c = F.substring(value, i + 1, F.lit(1))
         nth = F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), "[^0-9]", ""))
-        return F.when(c.rlike("[0-9]"), F.substring(surrogate, nth, F.lit(1))).otherwise(c)
+        return F.when(c.rlike("[0-9]"), F.substring(F.regexp_replace(surrogate, "^[+]", ""), nth, F.lit(1))).otherwise(c)
 
     def tight(i):
         c = F.substring(value, i + 1, F.lit(1))
@@ -222,10 +249,10 @@ def _rendered(value: Column, kind: Column, surrogate: Column) -> Column:
         return F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(s)).otherwise(s)
 
     places = F.sequence(F.lit(0), F.length(value) - 1)
-    numbers = [k.name for k in KINDS if k.form in ("digits", "card") and k.name != "account"]
+    numbers = [k.name for k in KINDS if k.form in ("digits", "card")]
     mail = F.concat(F.array_join(F.transform(places, case), ""), F.substring(surrogate, F.length(value) + 1, F.length(surrogate)))
     name = F.when((value == F.upper(value)) & (F.length(value) > 1), F.upper(surrogate)).otherwise(surrogate)
-    return F.when(kind.isin(numbers), F.array_join(F.transform(places, place), "")).when(kind == "account", F.array_join(F.transform(places, tight), "")).when(kind == "email", mail).when(kind == "address", surrogate).otherwise(name)
+    return F.when(kind.isin(numbers), F.array_join(F.transform(places, place), "")).when(kind == "account", F.array_join(F.transform(places, tight), "")).when(kind.isin("email", "address6"), mail).when(kind == "address", surrogate).otherwise(name)
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:

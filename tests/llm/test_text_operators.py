@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -350,6 +351,47 @@ def test_pii_later_mentions(spark):
     assert row[1]["text"] == "Smith alone"
 
 
+def test_pii_long_runs(spark):
+    """Unbroken runs of a megabyte, and a host of twenty thousand labels, take seconds; what stands behind them is found all the same."""
+    million, tail = 1_000_000, " a.b@mail.example.org"
+    runs = ["a@" + "b." * 20_000 + "com", "x" * million + "@", "x" * million, "1" * million, "X" * million, "a@b" * (million // 3), "1." * (million // 2), "A1" * (million // 2), "+1" * (million // 2), "ab:" * (million // 3), "Mr X" * 2000]
+    docs = spark.createDataFrame([(k, t + tail) for k, t in enumerate(runs)], "doc_id long, text string").repartition(len(runs))
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in pii.detected(docs).select("doc_id", "entities", F.length("text").alias("long")).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[k]["entities"][-1]["kind"] == "email" and got[k]["entities"][-1]["end"] == got[k]["long"] for k in got)
+
+
+#: Each kind's mentions by a plain reading of the same rules, without the library's expressions.
+WRITTEN = {
+    "email": ["Ann.Lee+x@mail.example.org", "a@b.co"], "account": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "card": ["4111 1111 1111 1111", "378282246310005", "3782 822463 10005"],
+    "phone": ["+44 20 7946 0958", "+1 (212) 555-0147", "212-555-0147", "212.555.0147", "(212) 555-0147", "0171 234 5678", "+353 1 234 5678"], "national": ["123-45-6789"], "address": ["192.168.0.17"], "address6": ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:85a3:0000:0000:8a2e:0370:7334"],
+}
+CLEAN = ("12:30:45", "std::vector", "a::b", "1.2.3", "version 10.2.1.5.6", "4111 1111 1111 1112", "x@y", "@name", "1234567", "2026-05-20", "AB12", "C::D::E", "3.141.5926")
+
+
+def test_pii_kinds_and_clean_texts(spark):
+    rows = [(k, f"see {v}, then {v}. End", kind, v) for k, (kind, v) in enumerate((kind, v) for kind, vs in WRITTEN.items() for v in vs)] + [(1000 + k, f"see {v} here", None, v) for k, v in enumerate(CLEAN)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string, value string")
+    for r in pii.pseudonymised(docs).collect():
+        found = [(e["kind"], e["start"], e["end"]) for e in r["entities"]]
+        if r["kind"] is None:
+            assert not found, r
+            continue
+        n = len(r["value"])
+        assert found == [(r["kind"], 4, 4 + n), (r["kind"], 11 + n, 11 + 2 * n)], r
+        one, two = (e["new"] for e in r["entities"])
+        assert one == two != r["value"] and len(one) >= n and r["value"] not in r["text"]
+        shape = lambda v: re.sub("[0-9a-fA-F]", "h", v) if r["kind"] == "address6" else re.sub("[0-9]", "9", v)  # noqa: B023, E731
+        if r["kind"] in ("phone", "card", "national", "address6"):
+            assert shape(one) == shape(r["value"])
+        if r["kind"] == "phone" and one.startswith("+"):
+            assert one[: 1 + len(re.match(r"\+(\d+)", r["value"])[1])] == re.match(r"\+\d+", r["value"])[0]
+        if r["kind"] == "account":
+            flat = one.replace(" ", "")
+            assert flat[:2] == r["value"][:2] and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def test_pii_full_format_ends(spark, monkeypatch):
     """More entities than their format has values: all have a surrogate, those beyond are marked."""
     monkeypatch.setattr(pii, "ATTEMPTS", 4)
