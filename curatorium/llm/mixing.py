@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SEED = 20240229
 MAX_BROADCAST_SOURCES = 100_000
+CHUNK = 1000  # copies of a row that are made at a time
 _TWO53 = float(1 << 53)
 
 
@@ -60,16 +61,19 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None) -> DataFrame
 
 
 def mixed(docs: DataFrame, targets: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
-    """docs with each row repeated by its draw, in a global random order, with columns replica (from 0), rate and mix_key added (columns of docs so named, and _of, _terms and _count, are replaced).
+    """docs with each row repeated by its draw, in a global random order, with columns replica (from 0), rate and mix_key added (columns of docs so named, and _of, _terms, _count and _first, are replaced).
 
     A null source is a source. A row whose doc_id or text is null is drawn by what it has. Equal rows draw equal counts. An empty
     table gives no rows.
     """
-    docs = docs.drop("replica", "rate", "mix_key", "_of", "_terms", "_count")
+    docs = docs.drop("replica", "rate", "mix_key", "_of", "_terms", "_count", "_first")
     table = rates(docs, targets).select(F.col("source").alias("_of"), "rate", poisson_terms(F.col("rate")).alias("_terms"))
     known = docs.select("source").distinct().limit(MAX_BROADCAST_SOURCES + 1).count()
     rated = docs.join(F.broadcast(table) if known <= MAX_BROADCAST_SOURCES else table, F.col("source").eqNullSafe(F.col("_of"))).drop("_of")
     count = poisson_draw(F.col("_terms"), uniform(F.lit(seed), F.col("doc_id"), F.col("text")))
-    drawn = rated.withColumn("_count", count).drop("_terms").where("_count > 0").withColumn("replica", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1))).drop("_count")
+    drawn = rated.withColumn("_count", count).drop("_terms").where("_count > 0").withColumn("_first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_count") - 1, F.lit(CHUNK).cast("bigint"))))
+    if (table.agg(F.max("rate")).first()[0] or 0) > CHUNK:  # rows with many chunks: these are dealt out before they become copies
+        drawn = drawn.repartition(F.xxhash64("doc_id", "text", "_first"))
+    drawn = drawn.withColumn("replica", F.explode(F.sequence("_first", F.least(F.col("_first") + CHUNK, F.col("_count")) - 1))).drop("_count", "_first")
     keyed = drawn.withColumn("mix_key", F.xxhash64(F.lit(seed + 1), F.col("doc_id"), F.col("text"), F.col("replica")))
     return keyed.repartition("mix_key").sortWithinPartitions("mix_key")

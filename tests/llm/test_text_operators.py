@@ -294,6 +294,14 @@ def test_mixing_draws(spark, data):
         assert got[d] == (poisson_at(rates[s], x) if rates[s] else 0)
 
 
+def test_mixing_a_row_of_very_many_copies(spark):
+    """A source of one row beside one of 40,000: its copies are numbered without a gap and made by several tasks."""
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.when(F.col("id") == 7, "lone").otherwise("many").alias("source"))
+    docs = rows.repartition(3)
+    got = mixing.mixed(docs).where("source = 'lone'").agg(F.count("*").alias("n"), F.countDistinct("replica").alias("each"), F.max("replica").alias("last"), F.countDistinct("doc_id").alias("ids")).first()
+    assert got["ids"] == 1 and got["n"] == got["each"] == got["last"] + 1 and 19_000 < got["n"] < 21_000
+
+
 def test_mixing_odd_rows(spark):
     docs = odd_docs(spark, extra=True)
     first, again = mixing.mixed(docs).collect(), mixing.mixed(docs.repartition(5)).collect()
