@@ -42,8 +42,33 @@ def of_mode(df: DataFrame, mode: str, closed: Column) -> DataFrame:
     return df if mode == "all" else df.where(~closed if mode == "open" else closed)
 
 
+def in_japanese(c: Column) -> Column:
+    """A text to sort by as Japanese readers expect: digits, letters whatever their case, kana by sound, then kanji. Null counts as empty."""
+    return F.collate(F.coalesce(c, F.lit("")), "ja")
+
+
+ADMIN_SORTS = ("published_at_desc", "amount_desc", "deadline_asc", "region_title_asc", "fetched_at_desc")
+
+
+def admin_order(sort: str, published: Column, amount: Column, deadline: Column, region: Column, title: Column, fetched: Column, number: Column) -> list[Column]:
+    """Sort keys of the editors' list: the last published, the largest amount (none counts as 0), the next deadline (none last), place and title in Japanese order, or the last fetched; ties by number, so the order is total. Times are milliseconds, none counts as 0."""
+    whole = lambda c: F.coalesce(c, F.lit(0)).desc()
+    by = {
+        "published_at_desc": [whole(published)], "amount_desc": [whole(amount)], "deadline_asc": [deadline.asc_nulls_last()],
+        "region_title_asc": [in_japanese(F.coalesce(F.when(region != "", region), F.lit("不明"))).asc(), in_japanese(title).asc()],
+    }
+    return by.get(sort, [whole(fetched)]) + [number.asc()]
+
+
+def visible(df: DataFrame, noted: Column | None = None, passes: Column | None = None) -> DataFrame:
+    """Rows of the editors' list under its filters: with a note of theirs, and with the quality asked for."""
+    for test in (noted, passes):
+        df = df if test is None else df.where(F.coalesce(test, F.lit(False)))
+    return df
+
+
 def list_order(mode: str, sort: str, closed: Column, newest: Column, deadline: Column, amount: Column, title: Column, number: Column) -> list[Column]:
-    """Sort keys of the list: where all rows are shown, open ones first; deadlines run backwards in the list of closed ones; rows without an amount last; ties by number, so the order is total."""
+    """Sort keys of the list: where all rows are shown, open ones first; deadlines run backwards in the list of closed ones; rows without an amount last; ties by number, so the order is total. A title goes by code point unless it comes as in_japanese gives it."""
     by = {
         "deadline": [deadline.desc() if mode == "closed" else deadline.asc()], "amount_desc": missing_last(amount, True), "amount_asc": missing_last(amount, False), "title": [F.coalesce(title, F.lit("")).asc()],
     }
