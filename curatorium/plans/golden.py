@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions import expenses, lexicon, periods
@@ -104,12 +104,37 @@ def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     for mode, sort in _LISTS:
         order = search.list_order(mode, sort, *map(F.col, ("closed", "newest", "due", "amount", "title", "n")))
         page = search.page_of(search.of_mode(rows, mode, F.col("closed")), 2, 8, *order)
-        whole = page.agg(F.collect_list("n").alias("ns")).select(F.posexplode("ns").alias("at", "n"))  # eight rows, in order
-        page = whole.select(F.lit(mode).alias("mode"), F.lit(sort).alias("sort"), "n", (F.col("at") + 9).cast("bigint").alias("place"))
+        at = F.row_number().over(Window.orderBy(*order))  # of eight rows
+        page = page.select(F.lit(mode).alias("mode"), F.lit(sort).alias("sort"), "n", (at + 8).cast("bigint").alias("place"))
         out = page if out is None else out.unionByName(page)
     return out
 
 
+_PLACES, _NAMES = ("松山市", "今治市", "", "伊予市", "ア地区", "い地区"), ("サクラ補助金", "さる対策", "愛媛の助成", "apple", "Banana", "いぬ", "アイス", "10番", "補助金の一覧", "ガラス")
+_ADMIN = {
+    "published_at_desc": "coalesce(published, 0) DESC", "amount_desc": "coalesce(amount, 0) DESC", "deadline_asc": "deadline ASC NULLS LAST", "region_title_asc": "CASE WHEN region = '' THEN '不明' ELSE region END COLLATE ja, title COLLATE ja", "fetched_at_desc": "fetched DESC",
+}
+_ADMIN_SQL = f"""SELECT o_orderkey AS n, CASE WHEN o_orderkey % 4 > 0 THEN o_custkey END AS published, CASE WHEN o_orderkey % 3 > 0 THEN o_totalprice END AS amount, CASE WHEN o_orderkey % 5 > 0 THEN o_custkey % 97 END AS deadline, o_custkey AS fetched,
+  list_extract([{", ".join(map(quoted, _PLACES))}], CAST(o_orderkey % {len(_PLACES)} AS INTEGER) + 1) AS region, list_extract([{", ".join(map(quoted, _NAMES))}], CAST(o_custkey % {len(_NAMES)} AS INTEGER) + 1) AS title FROM orders"""
+
+
+@register("admin_lists", f"WITH i AS ({_ADMIN_SQL}) " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{sort}' AS sort, n, row_number() OVER (ORDER BY {keys}, n) AS place FROM i) WHERE place <= 40" for sort, keys in _ADMIN.items()))
+def admin_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first forty of the editors' list in each of its orders."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), (i % len(words) + 1).cast("int"))
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("n"), F.when(k % 4 > 0, c).alias("published"), F.when(k % 3 > 0, F.col("o_totalprice")).alias("amount"), F.when(k % 5 > 0, c % 97).alias("deadline"), c.alias("fetched"), pick(_PLACES, k).alias("region"), pick(_NAMES, c).alias("title")
+    )
+    out = None
+    for sort in search.ADMIN_SORTS:
+        order = search.admin_order(sort, *map(F.col, ("published", "amount", "deadline", "region", "title", "fetched", "n")))
+        first = rows.orderBy(*order).limit(40)
+        first = first.select(F.lit(sort).alias("sort"), "n", F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place"))  # of forty rows
+        out = first if out is None else out.unionByName(first)
+    return out
+
+
 @register("feed_imports", f"""WITH f AS (SELECT o_orderkey, o_orderkey % 4 AS r, CAST(floor(o_totalprice / 1000) AS BIGINT) AS n, o_orderdate AS d FROM orders WHERE o_orderkey IS NOT NULL),
 x AS (SELECT *, unnest(CASE WHEN o_orderkey % 2 = 0 THEN ['令和7年度', '令和8年度'] ELSE [''] END) AS y, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [1, 2] ELSE [1] END) AS i FROM f)
 SELECT 'G' || o_orderkey || ':' || CASE WHEN y = '' THEN 'workflow-1' ELSE y END AS source_external_id, '設備導入 補助金' || CASE WHEN y = '' THEN '' ELSE '（' || y || '）' END AS title,
