@@ -12,9 +12,12 @@ MOST = 8  # items kept of a record
 
 def is_bad(c: Column) -> Column:
     """Whether a piece of text is no expense: too short or long, markup, a rate, an amount, a period, or a bound without a known kind."""
-    flat = F.trim(text.ascii_numbers(text.without_html(c)))
-    bounded = flat.rlike("以内|以下|以上|未満") & ~text.any_contained(flat, lexicon.EXPENSES)
-    return (F.length(flat) < 2) | (F.length(flat) > 60) | flat.rlike(lexicon.MARKUP) | flat.rlike(lexicon.NOT_EXPENSE) | bounded
+
+    def judge(flat: Column) -> Column:
+        bounded = flat.rlike("以内|以下|以上|未満") & ~text.any_contained(flat, lexicon.EXPENSES)
+        return (F.length(flat) < 2) | (F.length(flat) > 60) | flat.rlike(lexicon.MARKUP) | flat.rlike(lexicon.NOT_EXPENSE) | bounded
+
+    return text.bound(F.trim(text.ascii_numbers(text.without_html(c))), judge)
 
 
 def cleaned(c: Column) -> Column:
@@ -30,7 +33,6 @@ def cleaned(c: Column) -> Column:
 
 def known(c: Column) -> Column:
     """Kinds of expenses the text names, at most MOST, general ones only where no special one says the same."""
-    flat = text.without_html(c)
 
     def special(found: Column) -> Column:
         def keep(w: Column) -> Column:
@@ -40,7 +42,7 @@ def known(c: Column) -> Column:
 
         return F.slice(F.filter(found, keep), 1, MOST)
 
-    return text.bound(F.filter(F.array(*map(F.lit, lexicon.EXPENSES)), lambda w: F.contains(flat, w)), special)
+    return text.bound(text.without_html(c), lambda flat: text.bound(F.filter(F.array(*map(F.lit, lexicon.EXPENSES)), lambda w: F.contains(flat, w)), special))
 
 
 def items(c: Column) -> Column:

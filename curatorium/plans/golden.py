@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from curatorium.functions import expenses, lexicon, periods
-from curatorium.operators import gates, imports, search
+from curatorium.operators import gates, imports, search, stages
 from curatorium.plans.shared import quoted, registry, table
 
 QUERIES, ORACLES, register = registry()
@@ -24,7 +24,7 @@ PERIODS = (
 def _dealt(spark: SparkSession, sf_dir: str, texts: tuple[str, ...]) -> DataFrame:
     """Each part with one of the texts."""
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    parts = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % len(texts)).cast("int").alias("k"))
+    parts = stages.dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select("p_partkey", (F.col("p_partkey") % len(texts)).cast("int").alias("k"))
     return parts.join(F.broadcast(rows), "k")  # some twenty rows
 
 
