@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from curatorium.functions import lexicon, text, urls
 from curatorium.operators import rules
+from curatorium.operators.stages import once
 
 
 def _assists(c: Column) -> Column:
@@ -25,7 +26,7 @@ def is_form(url: Column, title: Column, body: Column) -> Column:
     name, head = F.concat_ws("\n", title, url), F.substring(body, 1, 1200)
     named, worded = text.matches(name, lexicon.FORMS) > 0, text.matches(head, lexicon.FORMS) > 0
     guided = text.matches(F.concat_ws("\n", name, head), lexicon.GUIDELINES) > 0
-    return (named & ~guided) | ((named | worded) & ~_assists(title) & ~guided & (detail_signals(body) == 0))
+    return ~guided & (named | (worded & ~_assists(title) & (detail_signals(body) == 0)))
 
 
 def is_index_title(title: Column) -> Column:
@@ -80,18 +81,21 @@ def scored_links(links: DataFrame, domains: Column | None = None) -> DataFrame:
     Links of a page that share a normal form count once, the first one accepted. Adds link, score, reasons, penalties, same_domain, should_crawl.
     """
     link, label, heading = urls.normalised(F.col("url"), "index"), text.collapsed(F.col("text")), text.collapsed(F.col("heading"))
-    rows = links.withColumns({"link": link, "text": label, "heading": heading}).where("link <> ''")
+    rows = once(links, {"link": link, "text": label, "heading": heading}).where("link <> ''")
     link, label, heading = F.col("link"), F.col("text"), F.col("heading")
     strong = _assists(label) & ~label.rlike("事務補助|業務補助|作業補助")
     near = F.lit(True) if domains is None else urls.within(urls.host(link), domains)
     found = rules.conditions(lexicon.LINK_RULES, {"text": label, "heading": heading, "url": link}, {"weak": ~strong, "no_interest": ~label.rlike("利子補給|補助"), "pdf": urls.is_pdf(link)}, lexicon.LINK_FIELDS, lexicon.LINK_LABELS)
     around = [F.coalesce(c, F.lit(False)) for c in ("nav", *lexicon.AREAS) if c in links.columns]
     found += [(reduce(or_, around, F.lit(False)), -5, "common_navigation_area -5"), (~near, -4, "external_domain -4")]
+    rows = once(rows, {"_hits": F.array(*[hit for hit, _, _ in found]), "_near": near})  # each rule is tried once, for the score and for its label
+    found = [(F.get("_hits", F.lit(i)), points, name) for i, (_, points, name) in enumerate(found)]
     everything = F.concat_ws("\n", label, heading, F.col("context"), link)
     signal = _assists(everything) | everything.rlike("支援|公募|募集|交付") | link.rlike("(?i)hojo|josei|shien")
     here = F.concat_ws(" ", label, heading, link)
     excluded = text.any_contained(here, lexicon.EXCLUDED_LINKS) & ~_assists(here)
-    rows = rows.withColumns({"raw": rules.score(found), "reasons": rules.labels(found, True), "penalties": rules.labels(found, False), "same_domain": near, "excluded": excluded, "signal": signal, "keyword": text.any_contained(here, lexicon.INCLUDED_LINKS)})
+    judged = {"raw": rules.score(found), "reasons": rules.labels(found, True), "penalties": rules.labels(found, False), "same_domain": F.col("_near"), "excluded": excluded, "signal": signal, "keyword": text.any_contained(here, lexicon.INCLUDED_LINKS)}
+    rows = once(rows, judged).drop("_hits", "_near")
     rows = rows.where("keyword or signal or raw >= 5").withColumn("score", F.when(F.col("excluded"), F.least("raw", F.lit(0))).otherwise(F.col("raw")))
     crawl = (F.col("score") >= 8) & F.col("same_domain") & ~F.col("excluded") & ~urls.is_grant_portal(link) & ~is_form(link, label, F.lit(""))
     first = Window.partitionBy("page", "link").orderBy("pos")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.functions import lexicon, text, urls
-from curatorium.operators import pages, quality, rules, search
+from curatorium.operators import pages, quality, rules, search, stages
 from curatorium.plans.shared import count_sql, labels_sql, quoted, registry, rules_sql, table
 from curatorium.sources import tables
 
@@ -129,7 +129,7 @@ def _nth(words, column: str) -> str:
 
 def _made_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = lambda words, i: F.element_at(F.array(*map(F.lit, words)), i)
-    p = table(spark, sf_dir, "part")
+    p = stages.dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
     key = F.col("p_partkey")
     return p.select(
         (key % 50).alias("page"), key.alias("pos"), F.concat(F.lit("https://www.city.example.jp"), pick(_PATHS, (key % len(_PATHS) + 1).cast("int")), F.lit("?p="), key.cast("string")).alias("url"),
