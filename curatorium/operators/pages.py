@@ -36,17 +36,25 @@ def is_index_title(title: Column) -> Column:
 
 def is_index(url: Column, title: Column, body: Column, links: Column, subsidy_links: Column) -> Column:
     """Lists of pages rather than pages about one programme."""
-    u, signals, generic = F.lower(urls.normalised(url, "index")), detail_signals(body), is_index_title(title)
-    detail = u.rlike(r"\.html?$") & ~u.rlike(r"/index\.html?$") & ~generic & (_assists(title) | (signals >= 1))
-    listlike = u.rlike(r"/(?:index\.html?|hojokin|josei|sangyou|sangyo|shien|life/[0-9]+|theme[0-9]+)/?$|/page/theme[0-9]+\.html$")
-    many = (subsidy_links >= 4) & (signals < 4) | (links >= 80) & (subsidy_links >= 3) & (signals < 5)
-    return ~detail & ((generic | listlike) & (signals < 4) | many | title.rlike("補助金|助成金|支援制度") & (subsidy_links >= 3) & (signals < 3))
+    found = F.struct(F.lower(urls.normalised(url, "index")).alias("u"), detail_signals(body).alias("signals"), is_index_title(title).alias("generic"))
+
+    def judge(f: Column) -> Column:
+        u, signals, generic = f["u"], f["signals"], f["generic"]
+        detail = u.rlike(r"\.html?$") & ~u.rlike(r"/index\.html?$") & ~generic & (_assists(title) | (signals >= 1))
+        listlike = u.rlike(r"/(?:index\.html?|hojokin|josei|sangyou|sangyo|shien|life/[0-9]+|theme[0-9]+)/?$|/page/theme[0-9]+\.html$")
+        many = (subsidy_links >= 4) & (signals < 4) | (links >= 80) & (subsidy_links >= 3) & (signals < 5)
+        return ~detail & ((generic | listlike) & (signals < 4) | many | title.rlike("補助金|助成金|支援制度") & (subsidy_links >= 3) & (signals < 3))
+
+    return text.bound(found, judge)
 
 
 def page_type(url: Column, title: Column, body: Column, links: Column, subsidy_links: Column, pdf: Column) -> Column:
     """Class of a page, first match wins."""
-    everything = F.concat_ws("\n", title, url, F.substring(body, 1, 2500))
-    form, is_pdf = is_form(url, title, body), pdf | urls.is_pdf(url)
+    found = F.struct(F.concat_ws("\n", title, url, F.substring(body, 1, 2500)).alias("everything"), is_form(url, title, body).alias("form"), (pdf | urls.is_pdf(url)).alias("pdf"), detail_signals(body).alias("signals"))
+    return text.bound(found, lambda f: _type(url, title, body, links, subsidy_links, f["everything"], f["form"], f["pdf"], f["signals"]))
+
+
+def _type(url: Column, title: Column, body: Column, links: Column, subsidy_links: Column, everything: Column, form: Column, is_pdf: Column, signals: Column) -> Column:
     return rules.decision(
         [
             (urls.is_grant_portal(url), "jgrants_page"),
@@ -56,8 +64,8 @@ def page_type(url: Column, title: Column, body: Column, links: Column, subsidy_l
             (form, "application_form"),
             (F.concat_ws("\n", title, url).rlike("|".join(lexicon.NOISE)) & ~_assists(everything), "noise_page"),
             (everything.rlike(lexicon.PERSONAL_ASSISTANCE) & _assists(everything), "personal_assistance"),
-            (url.rlike(r"(?i)\.html?\z") & url.rlike("(?i)hojo|hojokin|josei|shien") & ((detail_signals(body) >= 1) | _assists(everything) | F.contains(everything, F.lit("支援"))), "subsidy_detail"),
-            ((detail_signals(body) >= 2) & _assists(everything), "subsidy_detail"),
+            (url.rlike(r"(?i)\.html?\z") & url.rlike("(?i)hojo|hojokin|josei|shien") & ((signals >= 1) | _assists(everything) | F.contains(everything, F.lit("支援"))), "subsidy_detail"),
+            ((signals >= 2) & _assists(everything), "subsidy_detail"),
         ],
         "unknown",
     )
@@ -65,14 +73,16 @@ def page_type(url: Column, title: Column, body: Column, links: Column, subsidy_l
 
 def page_score(url: Column, title: Column, body: Column, links: Column, kind: Column) -> Column:
     """Additive score of a page for being about one programme."""
-    everything = F.concat_ws("\n", title, url, F.substring(body, 1, 5000))
-    found = rules.conditions(lexicon.PAGE_RULES, {"title": title, "url": url, "all": everything}, {"weak": ~_assists(everything), "pdf": urls.is_pdf(url)})
-    short = F.length(F.trim(body))
-    more = [
-        (urls.is_grant_portal(url) | F.contains(everything, F.lit("jgrants-portal.go.jp")), -8, "portal"),
-        (links >= 100, -5, "links"), ((short > 0) & (short < 300), -5, "short"), (is_form(url, title, body), -5, "form"), (kind.isin("subsidy_detail", "pdf_guideline"), 2, "kind"),
-    ]
-    return rules.score(found + more)
+    def points(everything: Column) -> Column:
+        found = rules.conditions(lexicon.PAGE_RULES, {"title": title, "url": url, "all": everything}, {"weak": ~_assists(everything), "pdf": urls.is_pdf(url)})
+        short = F.length(F.trim(body))
+        more = [
+            (urls.is_grant_portal(url) | F.contains(everything, F.lit("jgrants-portal.go.jp")), -8, "portal"),
+            (links >= 100, -5, "links"), ((short > 0) & (short < 300), -5, "short"), (is_form(url, title, body), -5, "form"), (kind.isin("subsidy_detail", "pdf_guideline"), 2, "kind"),
+        ]
+        return rules.score(found + more)
+
+    return text.bound(F.concat_ws("\n", title, url, F.substring(body, 1, 5000)), points)
 
 
 def scored_links(links: DataFrame, domains: Column | None = None) -> DataFrame:

@@ -207,10 +207,10 @@ def page_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and score of made pages: titles and addresses as in link_scores, a detail word in every third body."""
     rows = _made_links(spark, sf_dir)
     body = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("補助対象: "), F.col("context"), F.lit(" 申請期間と補助率"))).otherwise(F.col("context"))
-    plain = F.regexp_replace("url", r"\?.*$", "")
-    kind = pages.page_type(plain, F.col("text"), body, F.lit(10), F.lit(1), F.lit(False))
-    rows = rows.select("pos", plain.alias("url"), F.col("text").alias("title"), body.alias("body"), kind.alias("page_type"))
-    return rows.withColumn("score", pages.page_score(F.col("url"), F.col("title"), F.col("body"), F.lit(10), F.col("page_type"))).withColumn("noise", pages.noise_reason(F.col("title"), F.lit(""), F.col("url")))
+    rows = stages.once(rows.select("pos", "url", F.col("text").alias("title"), "context"), {"url": F.regexp_replace("url", r"\?.*$", ""), "body": body}).drop("context")
+    url, title, body = F.col("url"), F.col("title"), F.col("body")
+    rows = stages.once(rows, {"page_type": pages.page_type(url, title, body, F.lit(10), F.lit(1), F.lit(False))})
+    return stages.once(rows, {"score": pages.page_score(url, title, body, F.lit(10), F.col("page_type")), "noise": pages.noise_reason(title, F.lit(""), url)})
 
 
 @register("crawl_frontier", """WITH e AS (SELECT DISTINCT 's' || l_suppkey AS s, 'p' || l_partkey AS t FROM lineitem), a AS (SELECT 's1' AS url, 0 AS depth),

@@ -6,17 +6,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatorium.functions import expenses
-from curatorium.plans import catalog
+from curatorium.operators import pages
+from curatorium.plans import golden, web
 
 
-@pytest.mark.parametrize("name", ["expense_items"])
-def test_one_group_of_rows_is_dealt_over_tasks(spark, data, name):
+@pytest.mark.parametrize("rows", [lambda *a: golden._dealt(*a, golden.EXPENSES), web._made_links], ids=["expense_items", "link_reasons, page_types"])
+def test_one_group_of_rows_is_dealt_over_tasks(spark, data, rows):
     """The tables of sf0.01 are files of one group of rows, which one task reads."""
-    used = catalog.QUERIES[name](spark, data).withColumn("_task", F.spark_partition_id())
-    assert used.select("_task").distinct().count() > 1
+    assert rows(spark, data).select(F.spark_partition_id().alias("task")).distinct().count() > 1
 
 
-def test_markup_is_removed_once_for_all_kinds_of_expenses(spark):
-    """The text without markup is bound, not written out for each of the kinds that it is searched for."""
-    for f in (expenses.known, expenses.is_bad):
-        assert str(f(F.col("t"))).count("script|style") == 1
+def test_expressions_are_bound_and_not_written_out(spark):
+    """What an expression uses often stands in it once."""
+    c = F.col("t")
+    assert str(expenses.is_bad(c)).count("<(script") == 1
+    assert str(pages.is_index(c, c, c, F.lit(1), F.lit(1))).count("#.*$") == 1
+    assert str(pages.page_score(c, c, c, F.lit(1), c)).count("5000") == 1
