@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -107,6 +108,14 @@ def matches(c: Column, patterns) -> Column:
     return out
 
 
+def skipping(pattern: str) -> str:
+    """The same expression, for rlike: where each of its alternatives begins with a sign outside ASCII, ASCII is passed over without trying them one by one."""
+    if re.search(r"[()\[\]\\^$.]", pattern):
+        return pattern  # only plain alternatives
+    plain = all(x and ord(x[0]) > 127 and x[1:2] not in ("?", "*", "{") for x in pattern.split("|"))
+    return f"(?=[^\\x00-\\x7F])(?:{pattern})" if plain else pattern
+
+
 def any_contained(c: Column, words) -> Column:
     """Whether the text holds any of the words."""
     out = F.lit(False)

@@ -29,7 +29,11 @@ def _holds(c: Column, part: Column) -> Column:
 
 def supported(claim: Column, flat: Column, f: Column, flat_evidence: Column) -> Column:
     """Whether the facts say what a claim says: its words, its rate, its cap (or an equal amount of yen), or its months. flat is the claim without white space, flat_evidence all facts as one text alike."""
-    rate, cap, start, end = (tight(f[c]) for c in ("subsidy_rate", "subsidy_cap", "application_start", "application_deadline"))
+    names = ("subsidy_rate", "subsidy_cap", "application_deadline")
+    return text.bound(F.struct(*[tight(f[c]).alias(c) for c in names]), lambda told: _supported(claim, flat, f, flat_evidence, *(told[c] for c in names)))
+
+
+def _supported(claim: Column, flat: Column, f: Column, flat_evidence: Column, rate: Column, cap: Column, end: Column) -> Column:
     months = F.regexp_extract_all(flat, F.lit(_MONTH), 0)
     in_months = lambda stated: _holds(flat, stated) | ((stated != "") & F.exists(months, lambda m: F.contains(stated, m)))
     cap_told = claim.rlike("上限額|補助上限|上限") & (cap != "") & (F.contains(flat, cap) | quality.same_amount(claim, f["subsidy_cap"]))
@@ -57,12 +61,12 @@ def factual(title: Column, body: Column, f: Column, evidence: Column) -> Column:
     more = [
         (title.rlike(_A["amount"]) & unfunded, _claim(F.lit("タイトルで補助率・上限額を約束しているが、公式ファクトに具体値がありません。"), "unsupported", "タイトル安全化が必要です。")),
         (
-            (f["subsidy_cap"] != "") & body.rlike(_A["amount"]) & body.rlike(_A["money"]) & ~cap_in_text,
+            (f["subsidy_cap"] != "") & body.rlike(text.skipping(_A["amount"])) & body.rlike(text.skipping(_A["money"])) & ~cap_in_text,
             _claim(F.lit("本文中の上限額らしき記述が、suppliedFacts の上限額と一致しない可能性があります。"), "contradictory", "公式ファクトの上限額と本文の金額を照合してください。", True),
         ),
-        (body.rlike(_A["industry_claim"]) & ~evidence.rlike(_A["industry_claim"]), _claim(F.lit("対象者・対象業種の根拠がない"), "unsupported", "suppliedFacts に本文の対象者・対象業種を裏付ける根拠がありません。")),
-        (body.rlike(_A["expense_claim"]) & ~evidence.rlike(_A["expense_claim"]), _claim(F.lit("対象経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象経費を裏付ける根拠がありません。")),
-        (body.rlike(_A["excluded_claim"]) & ~evidence.rlike(_A["excluded_fact"]), _claim(F.lit("対象外経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象外経費を裏付ける根拠がありません。")),
+        (body.rlike(text.skipping(_A["industry_claim"])) & ~evidence.rlike(_A["industry_claim"]), _claim(F.lit("対象者・対象業種の根拠がない"), "unsupported", "suppliedFacts に本文の対象者・対象業種を裏付ける根拠がありません。")),
+        (body.rlike(text.skipping(_A["expense_claim"])) & ~evidence.rlike(_A["expense_claim"]), _claim(F.lit("対象経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象経費を裏付ける根拠がありません。")),
+        (body.rlike(text.skipping(_A["excluded_claim"])) & ~evidence.rlike(_A["excluded_fact"]), _claim(F.lit("対象外経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象外経費を裏付ける根拠がありません。")),
         ((fiction != "") & ~F.contains(evidence, fiction), _claim(F.concat(F.lit("架空・仮名の事例が含まれています: "), fiction), "unsupported", "suppliedFacts にない企業名、導入事例、試算金額は公開本文へ追加できません。")),
     ]
     return F.array_distinct(F.concat(text.bound(tight(evidence), judge), F.array_compact(F.array(*[F.when(hit, claim) for hit, claim in more]))))

@@ -45,15 +45,21 @@ def unique(c: Column) -> Column:
 
 def article_type(value: Column, title: Column, content: Column, category: Column) -> Column:
     """The kind of an article: as given, or by the first words that occur."""
-    raw, everything = present(value), F.concat_ws(" ", present(title), present(content), present(category))
-    worded = [(everything.rlike(pattern), kind) for kind, pattern in lexicon.ARTICLE_TYPE_WORDS]
-    single = everything.rlike(lexicon.ARTICLE["offering"]) & ~everything.rlike(lexicon.ARTICLE["generic"])
-    return rules.decision([(raw.isin(list(lexicon.ARTICLE_TYPES)), raw), (present(category) == lexicon.FEATURE, "feature"), *worded, (single, "single_program")], "feature")
+    raw = present(value)
+
+    def judge(everything: Column) -> Column:
+        worded = [(everything.rlike(text.skipping(pattern)), kind) for kind, pattern in lexicon.ARTICLE_TYPE_WORDS]
+        single = everything.rlike(text.skipping(lexicon.ARTICLE["offering"])) & ~everything.rlike(lexicon.ARTICLE["generic"])
+        return rules.decision([*worded, (single, "single_program")], "feature")
+
+    told = text.bound(F.concat_ws(" ", present(title), present(content), present(category)), judge)
+    return rules.decision([(raw.isin(list(lexicon.ARTICLE_TYPES)), raw), (present(category) == lexicon.FEATURE, "feature")], told)
 
 
 def program_kind(value: Column, title: Column, content: Column) -> Column:
-    raw, everything = present(value), F.concat_ws(" ", present(title), present(content))
-    return rules.decision([(raw.isin(list(lexicon.PROGRAM_KINDS)), raw), *[(everything.rlike(pattern), kind) for kind, pattern in lexicon.PROGRAM_KIND_WORDS]], "other")
+    raw = present(value)
+    told = text.bound(F.concat_ws(" ", present(title), present(content)), lambda everything: rules.decision([(everything.rlike(text.skipping(pattern)), kind) for kind, pattern in lexicon.PROGRAM_KIND_WORDS], "other"))
+    return rules.decision([(raw.isin(list(lexicon.PROGRAM_KINDS)), raw)], told)
 
 
 def normalised(f: Column) -> Column:
@@ -153,8 +159,8 @@ def from_texts(c: dict[str, Column]) -> Column:
     blocks = F.filter(F.transform(F.split(F.coalesce(text.first_present(get("subsidies_text"), get("source_text")), F.lit("")), "\n---\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+\z", "")), lambda b: b != "")
     wanted = present(get("subsidy_id"))
     own = F.get(F.filter(blocks, lambda b: (wanted != "") & (labelled(b, "ID") == wanted)), F.lit(0))
-    old = F.struct(normalised(c.get("facts", F.lit(None).cast(FACTS))).alias("old"), pasted.alias("pasted"), F.coalesce(own, F.get(blocks, F.lit(0)), pasted).alias("block"))
-    return text.bound(old, lambda s: _joined(s["old"], s["pasted"], s["block"], present(get("title")), text.without_html(get("content")), get("category"), present(get("article_type"))))
+    old = F.struct(normalised(c.get("facts", F.lit(None).cast(FACTS))).alias("old"), pasted.alias("pasted"), F.coalesce(own, F.get(blocks, F.lit(0)), pasted).alias("block"), text.without_html(get("content")).alias("content"))
+    return text.bound(old, lambda s: _joined(s["old"], s["pasted"], s["block"], present(get("title")), s["content"], get("category"), present(get("article_type"))))
 
 
 def _joined(old: Column, pasted: Column, block: Column, title: Column, content: Column, category: Column, given: Column) -> Column:

@@ -81,11 +81,7 @@ def _label(c: Column, table: dict[str, str]) -> Column:
     return rules.decision([(c == k, v) for k, v in table.items()], c)
 
 
-def measured(articles: DataFrame) -> DataFrame:
-    """articles with what the rules look at, in the columns _title, _body, _length, _facts, _links and _seen (tests by name).
-
-    articles: title, content (HTML), and where they are known category, article_type, subsidy_id, facts (facts.FACTS), source_text, subsidies_text, instructions, memo, human_reviewed.
-    """
+def _claimed(articles: DataFrame) -> DataFrame:
     have = set(articles.columns)
     get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     rows = once(articles, {"_title": F.coalesce("title", F.lit("")), "_html": F.coalesce("content", F.lit("")), "_body": text.without_html(F.col("content"))})
@@ -101,7 +97,7 @@ def measured(articles: DataFrame) -> DataFrame:
     rows = once(rows, {"_length": F.length(text.tight(body)), "_links": links, "_evidence": facts.evidence_text(f), "_missing": facts.missing(f, title), "_official": facts.usable_source(f)})
     own = F.filter("_links", lambda h: h.startswith("/") | h.rlike(lexicon.PORTAL_HOST))
     path = lambda h: F.when(h.startswith("/"), h).otherwise(F.coalesce(text.first_present(F.regexp_replace(h, "(?i)^https?://[^/?#]*", "")), F.lit("/")))
-    rows = once(
+    return once(
         rows,
         {
             "_claims": claims.factual(title, body, f, F.col("_evidence")), "_own": own, "_away": F.size(F.filter("_links", lambda h: h.rlike("(?i)^https?://") & ~h.rlike(lexicon.PORTAL_HOST))),
@@ -109,9 +105,24 @@ def measured(articles: DataFrame) -> DataFrame:
             **{f"_n_{tag}": F.regexp_count("_html", F.lit(rf"(?i)<{tag}[\s>]")) for tag in ("h2", "table")}, "_cells": F.col("_html").rlike(r"(?i)<th[\s>]|<td[\s>]"),
         },
     )
+
+
+def claimed(articles: DataFrame) -> DataFrame:
+    """articles with their facts and claims (columns _facts, _claims and what these are read from): the part of measured() that needs no rule's tests."""
+    return _claimed(articles).drop("_links", "_own", "_away", "_astray", "_n_h2", "_n_table", "_cells")
+
+
+def measured(articles: DataFrame) -> DataFrame:
+    """articles with what the rules look at, in the columns _title, _body, _length, _facts, _links and _seen (tests by name).
+
+    articles: title, content (HTML), and where they are known category, article_type, subsidy_id, facts (facts.FACTS), source_text, subsidies_text, instructions, memo, human_reviewed.
+    """
+    have = set(articles.columns)
+    get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
+    rows, body, title = _claimed(articles), F.col("_body"), F.col("_title")
     in_body = ("year", "amount", "money", "official", "checked", "deadline_detail", "round", "implementer", "study_detail", "equipment", "definite", "risky", "local", "contract", "target", "expense", "excluded", "action", "project", "conditions", "start", "single", "method")
     in_title = ("year", "amount", "deadline", "offering", "generic", "rate_title", "cap_title", "any_amount_title")
-    tests = {f"body_{n}": body.rlike(_A[n]) for n in in_body} | {f"title_{n}": title.rlike(_A[n]) for n in in_title} | {"memo": F.col("_html").rlike(_A["memo"]), "checklist": F.col("_html").rlike(_A["checklist"]), "study": F.concat_ws(" ", title, body).rlike(_A["study"])}
+    tests = {f"body_{n}": body.rlike(text.skipping(_A[n])) for n in in_body} | {f"title_{n}": title.rlike(_A[n]) for n in in_title} | {"memo": F.col("_html").rlike(_A["memo"]), "checklist": F.col("_html").rlike(_A["checklist"]), "study": F.concat_ws(" ", title, body).rlike(_A["study"])}
     human = F.coalesce(F.col("human_reviewed"), F.lit(False)) if "human_reviewed" in have else F.lit(False)
     return once(rows, {"_seen": F.struct(*[c.alias(n) for n, c in tests.items()]), "_unsupported": claims.of_status(F.col("_claims"), "unsupported"), "_contradictory": claims.of_status(F.col("_claims"), "contradictory"), "_human": human, "_category": facts.present(get("category"))})
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curatorium.functions import lexicon
-from curatorium.operators import claims, review
+from curatorium.operators import claims, review, stages
 from curatorium.plans import web
 from curatorium.plans.shared import quoted, registry, table
 
@@ -46,7 +46,7 @@ def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         _nth(_LINKS, part(3, 4)), F.repeat(F.lit("<h2>見出し</h2>"), part(1, 15).cast("int")), F.when(part(5, 3) > 0, _SAID).otherwise(""), F.when(part(7, 2) == 0, "<ul><li>項目</li></ul>").otherwise(""), F.when(part(1, 17) == 0, "qualityScore").otherwise(""),
     )
     kind = F.when(part(1, 3) == 0, "single_program").otherwise("column")
-    return table(spark, sf_dir, "documents").select(
+    return stages.dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(
         "doc_id", _nth(_TITLES, part(1, 5)).alias("title"), content.alias("content"), kind.alias("article_type"), _nth([b[0] for b in _BLOCKS], part(1, 4)).alias("subsidies_text"), (part(1, 2) == 0).alias("human_reviewed")
     )
 
@@ -92,7 +92,7 @@ e AS (SELECT *, len(unsupported) + unfunded::INTEGER + no_industry::INTEGER + no
 @register("article_claims", f"WITH {_READ_SQL} SELECT doc_id, len(told) - len(unsupported) AS n_supported, n_unsupported, n_contradictory, CAST(coalesce(list_sum(list_transform(told, lambda c: list_sum({_yen('c')}))), 0) AS DOUBLE) AS yen, list_sort(unsupported) AS unsupported FROM e")
 def article_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of each article by status, the yen that they name, and the numbers that no fact bears out."""
-    rows = review.measured(_articles(spark, sf_dir)).select("doc_id", "_claims")
+    rows = review.claimed(_articles(spark, sf_dir)).select("doc_id", "_claims")
     each = claims.table(rows, "doc_id", claims="_claims")
     number = F.col("claim").rlike(_A["number_claim"])
     yen = F.aggregate("yen", F.lit(0.0), lambda a, x: a + x)
