@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curatorium.functions import expenses, text
-from curatorium.operators import facts, pages, review
+from curatorium.operators import dedupe, facts, pages, review
 from curatorium.plans import articles, content, golden, web
 
 
@@ -35,3 +35,12 @@ def test_expressions_that_skip_ascii_find_the_same(spark):
     for pattern in ("補助|上限", "上限|補助金", "補助|abc", "補?助|x", "[補上]限"):
         assert all(r[0] == r[1] for r in rows.select(F.col("t").rlike(pattern), F.col("t").rlike(text.skipping(pattern))).collect())
     assert text.skipping("補助|上限") != "補助|上限" and text.skipping("補助|abc") == "補助|abc" and text.skipping("補?助|x") == "補?助|x"
+
+
+def test_pieces_of_an_article_take_one_pass(spark):
+    """The pieces that substrings would give, without counting each off from the beginning."""
+    told = ["", "a" * 13, "a" * 14, "".join(chr(97 + i * i % 26) for i in range(101)), "".join(chr(97 + i * i % 23) for i in range(100)), "𠮷補助𠮷" * 9, "x" * 20000]
+    rows = spark.createDataFrame([(t,) for t in told], "t string")
+    cut = F.expr("IF(length(t) >= 14, array_sort(array_distinct(transform(sequence(1, length(substring(t, 1, 12000)) - 13, 2), i -> xxhash64(substring(t, i, 14))))), array())")
+    assert all(r[0] == r[1] for r in rows.select(dedupe.article_shingles(F.col("t")), cut).collect())
+    assert "substring(t, lambda" not in str(dedupe.article_shingles(F.col("t"))) and "sequence" not in str(dedupe.article_shingles(F.col("t")))
