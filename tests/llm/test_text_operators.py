@@ -526,6 +526,18 @@ def test_passages_behind_a_line_that_ends_others(spark, common, long, others):
         assert not [k for k, _ in rows if k >= 10_000 and got[k]]
 
 
+def test_near_passages_around_a_line_of_many_texts(spark):
+    """Near copies that share a line with all texts and ten words on each side of it with one text only: their signatures are often those of the line."""
+    one, two = words(86_000, 18), words(86_001, 18)
+    rows = [(10_000 + k, f"{words(86_100 + k, 40)} {one} own{k} {two} {words(86_500 + k, 40)}") for k in range(100)]
+    for k in range(40):
+        left, right = words(87_000 + k, 10), words(87_100 + k, 10)
+        rows += [(2 * k + j, f"{words(87_200 + 2 * k + j, 30)} {left} {one} own{2 * k + j} {two} {right} {words(87_400 + 2 * k + j, 30)}") for j in (0, 1)]
+    for got in passages_of(spark, rows):
+        assert not [k for k, _ in rows if k < 10_000 and not covers(got[k], 30, 87)]
+        assert not [k for k, _ in rows if k >= 10_000 and got[k]]
+
+
 def test_passages_over_edits(spark):
     """Near copies of 50 to 100 words at a similarity of 0.75 or more are found whole, wherever their edits stand."""
     def changed(w, edits):
