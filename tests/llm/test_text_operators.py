@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -555,6 +556,24 @@ def test_passages_over_edits(spark):
         assert not [(k, n, got[k]) for k, n in wanted.items() if [(p["start"], p["stop"]) for p in got[k]] != [(50, 50 + n)]]
 
 
+def test_open_marks_meet_few(spark):
+    """Texts that share a passage with too many edits for near copies: what goes on to full texts does not grow with the square of their number, and each place still has a partner."""
+    base = words(45_000, 150).split()
+
+    def edited(k):
+        rng = random.Random(k)
+        at = set(rng.sample(range(150), 10))
+        return f"{words(46_000 + k, 30)} {' '.join(f'new{k}_{i}' if i in at else w for i, w in enumerate(base))} {words(47_000 + k, 30)}"
+
+    rows = spark.createDataFrame([(k, edited(k)) for k in range(120)], "uid long, text string").repartition(8)
+    covered = spark.createDataFrame([], "uid long, passages array<struct<start:int,stop:int>>")
+    met = [(r["a"], h["place_a"], r["b"]) for r in substring_dedup._rest(rows, covered).collect() for h in r["hits"]]
+    of = defaultdict(set)
+    for a, place, b in met:
+        of[a, place].add(b)
+    assert {a for a, _ in of} == set(range(120)) and max(len(b) for b in of.values()) <= 5
+
+
 def test_passages_odd_rows(spark):
     rows = substring_dedup.repeated_passages(odd_docs(spark, extra=True)).collect()
     by = {r["doc_id"]: r for r in rows}
