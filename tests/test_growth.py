@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,3 +46,21 @@ def test_pieces_of_an_article_take_one_pass(spark):
     cut = F.expr("IF(length(t) >= 14, array_sort(array_distinct(transform(sequence(1, length(substring(t, 1, 12000)) - 13, 2), i -> xxhash64(substring(t, i, 14))))), array())")
     assert all(r[0] == r[1] for r in rows.select(dedupe.article_shingles(F.col("t")), cut).collect())
     assert "substring(t, lambda" not in str(dedupe.article_shingles(F.col("t"))) and "sequence" not in str(dedupe.article_shingles(F.col("t")))
+
+
+def _similar(spark, texts: dict[int, str]) -> dict[int, tuple[int, float]]:
+    rows = spark.createDataFrame(list(texts.items()), "id long, content string")
+    return {r["id"]: (r["other_id"], r["score"]) for r in dedupe.most_similar(rows).collect()}
+
+
+def _letters(seed: int, n: int) -> str:
+    draw = random.Random(seed)
+    return "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+
+
+def test_an_article_is_compared_to_its_end(spark):
+    """Articles that share only what stands behind their first 12,000 characters."""
+    tail = _letters(0, 3000)
+    got = _similar(spark, {1: _letters(1, 14000) + tail, 2: _letters(2, 14000) + tail, 3: _letters(3, 14000)})
+    n, common = (17000 - 14) // 2 + 1, (3000 - 14) // 2 + 1
+    assert got == {1: (2, common / (2 * n - common)), 2: (1, common / (2 * n - common))}
