@@ -64,3 +64,20 @@ def test_an_article_is_compared_to_its_end(spark):
     got = _similar(spark, {1: _letters(1, 14000) + tail, 2: _letters(2, 14000) + tail, 3: _letters(3, 14000)})
     n, common = (17000 - 14) // 2 + 1, (3000 - 14) // 2 + 1
     assert got == {1: (2, common / (2 * n - common)), 2: (1, common / (2 * n - common))}
+
+
+@pytest.mark.parametrize(("block", "cells"), [(1 << 23, 1 << 22), (40, 16)], ids=["one block", "many blocks"])
+def test_most_similar_articles_in_blocks_are_those_of_all_pairs(spark, monkeypatch, block, cells):
+    """A common line, near and exact copies, and articles that share nothing, with blocks of any size."""
+    monkeypatch.setattr(dedupe, "BLOCK", block)
+    monkeypatch.setattr(dedupe, "CELLS", cells)
+    line = _letters(0, 60)
+    texts = {k: (line if k % 3 else "") + _letters(k, 1400 + 2 * (k % 5)) for k in range(1, 41)}
+    texts |= {50 + k: texts[k][: 200 * k] + _letters(50 + k, 1600 - 200 * k) for k in range(1, 7)} | {60: texts[9], 61: texts[9], 62: texts[10] * 2, 63: texts[10] * 3, 64: ""}
+    sets = {k: {t[i : i + 14] for i in range(0, len(t) - 13, 2)} for k, t in texts.items() if len(t) >= 1200}
+    want = {}
+    for k, s in sets.items():
+        scores = [(-len(s & t) / len(s | t), j) for j, t in sets.items() if j != k and s & t]
+        if scores:
+            want[k] = (min(scores)[1], -min(scores)[0])
+    assert _similar(spark, texts) == want
