@@ -11,6 +11,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -574,6 +575,32 @@ def test_open_marks_meet_few(spark):
     assert {a for a, _ in of} == set(range(120)) and max(len(b) for b in of.values()) <= 5
 
 
+def test_each_stretch_has_a_mark(spark):
+    """A line that a text repeats between other words, runs of a word and of a short phrase: each MARK tokens on end hold a mark of their smallest, at the line's last places too, and runs have few."""
+    line = words(48_000, 24)
+    text = " ".join(f"{words(48_100 + k, 20)} {line}" for k in range(9)) + " same" * 400 + f" {words(48_200, 30)}" + " one two three" * 100
+    batch = pa.RecordBatch.from_pydict({"uid": pa.array([7], pa.int64()), "text": [text]})
+    (tokens, _, place), = substring_dedup._placed(batch, substring_dedup.TOKEN)
+    marks = {(t, k) for m in substring_dedup._marked(iter([batch])) for t, k in zip(m.column("token").to_numpy().view(np.uint64).tolist(), m.column("place").to_pylist(), strict=True)}
+    value = substring_dedup.hashing.mix(tokens ^ np.uint64(substring_dedup.MARK))
+    for k in range(len(place) - substring_dedup.MARK + 1):
+        part = slice(k, k + substring_dedup.MARK)
+        least = value[part].min()
+        assert any((t, p) in marks for t, p, v in zip(tokens[part].tolist(), place[part].tolist(), value[part].tolist(), strict=True) if v == least)
+    run = len(f"{words(48_100, 20)} {line}".split()) * 9
+    assert sum(run <= k < run + 390 for _, k in marks) < 60
+
+
+def test_marks_alike_ask_once_and_are_looked_at_everywhere(spark):
+    """A text that repeats one line: its marks with the same beside them are one row, and what they find is looked at from each of their places."""
+    line = words(49_000, 40).split()
+    near = [w if k % 23 else f"new{k}" for k, w in enumerate(line * 3)]
+    rows = spark.createDataFrame([(1, " ".join(line * 14)), (2, f"{words(49_100, 60)} {' '.join(near)} {words(49_200, 60)}")], "uid long, text string")
+    covered = spark.createDataFrame([], "uid long, passages array<struct<start:int,stop:int>>")
+    places = {h["place_a"] for r in substring_dedup._rest(rows, covered).collect() if r["a"] == 1 for h in r["hits"]}
+    assert max(Counter(k % 40 for k in places).values()) >= 9
+
+
 def test_passages_odd_rows(spark):
     rows = substring_dedup.repeated_passages(odd_docs(spark, extra=True)).collect()
     by = {r["doc_id"]: r for r in rows}
