@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from curatorium.operators.graph import components, shared_dir, written
+from curatorium.operators.graph import components, freed, shared_dir, written
 
-__all__ = ["components", "forest", "shared_dir", "written"]
+__all__ = ["components", "forest", "freed", "shared_dir", "written"]
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
