@@ -116,6 +116,15 @@ def skipping(pattern: str) -> str:
     return f"(?=[^\\x00-\\x7F])(?:{pattern})" if plain else pattern
 
 
+#: No digit, none of %/<>- and nothing from the CJK radicals on, signs of two surrogates included: what an idle stretch of a text consists of.
+_IDLE = r"[^0-9%/<>\-\u2E80-\uFFFF\x{10000}-\x{10FFFF}]"
+
+
+def condensed(c: Column) -> Column:
+    """A text for expressions each of whose matches holds a sign that is not idle (see _IDLE) and spans fewer than 90 idle ones on end: the same matches, in a text whose longer idle stretches are their first and last 90 signs."""
+    return F.regexp_replace(c, rf"(?<!{_IDLE})({_IDLE}{{90}}){_IDLE}++(?<=({_IDLE}{{90}}))", "$1$2")
+
+
 def any_contained(c: Column, words) -> Column:
     """Whether the text holds any of the words."""
     out = F.lit(False)

@@ -46,27 +46,28 @@ def _claim(claim: Column, status: str, reason: str, sourced: bool = False) -> Co
     return F.struct(claim.alias("claim"), F.lit(status).alias("status"), sources.alias("source_ids"), F.lit(reason).alias("reason"))
 
 
-def factual(title: Column, body: Column, f: Column, evidence: Column) -> Column:
-    """Claims of an article (title, text without markup) with their status beside normalised facts and facts.evidence_text of them."""
+def factual(title: Column, body: Column, f: Column, evidence: Column, brief: Column | None = None) -> Column:
+    """Claims of an article (title, text without markup) with their status beside normalised facts and facts.evidence_text of them. brief: text.condensed of the text, where it is at hand."""
+    brief = text.condensed(body) if brief is None else brief
 
     def judge(flat_evidence: Column) -> Column:
         def one(claim: Column) -> Column:
             return text.bound(tight(claim), lambda flat: F.when(supported(claim, flat, f, flat_evidence), _claim(claim, "supported", "", True)).otherwise(_claim(claim, "unsupported", "suppliedFacts に同じ金額・日付・補助率の根拠がありません。")))
 
-        return F.transform(numeric(body), one)
+        return F.transform(numeric(brief), one)
 
     unfunded = (title.rlike(_A["rate_title"]) & (f["subsidy_rate"] == "")) | (title.rlike(_A["cap_title"]) & (f["subsidy_cap"] == "")) | (title.rlike(_A["any_amount_title"]) & (f["subsidy_cap"] == "") & (f["calculation_method"] == ""))
     cap_in_text = F.contains(body, text.without_html(f["subsidy_cap"])) | quality.same_amount(body, f["subsidy_cap"])
-    fiction = F.regexp_extract(body, f"({_A['fiction']})", 1)
+    fiction = F.regexp_extract(brief, f"({_A['fiction']})", 1)
     more = [
         (title.rlike(_A["amount"]) & unfunded, _claim(F.lit("タイトルで補助率・上限額を約束しているが、公式ファクトに具体値がありません。"), "unsupported", "タイトル安全化が必要です。")),
         (
-            (f["subsidy_cap"] != "") & body.rlike(text.skipping(_A["amount"])) & body.rlike(text.skipping(_A["money"])) & ~cap_in_text,
+            (f["subsidy_cap"] != "") & brief.rlike(text.skipping(_A["amount"])) & brief.rlike(text.skipping(_A["money"])) & ~cap_in_text,
             _claim(F.lit("本文中の上限額らしき記述が、suppliedFacts の上限額と一致しない可能性があります。"), "contradictory", "公式ファクトの上限額と本文の金額を照合してください。", True),
         ),
-        (body.rlike(text.skipping(_A["industry_claim"])) & ~evidence.rlike(_A["industry_claim"]), _claim(F.lit("対象者・対象業種の根拠がない"), "unsupported", "suppliedFacts に本文の対象者・対象業種を裏付ける根拠がありません。")),
-        (body.rlike(text.skipping(_A["expense_claim"])) & ~evidence.rlike(_A["expense_claim"]), _claim(F.lit("対象経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象経費を裏付ける根拠がありません。")),
-        (body.rlike(text.skipping(_A["excluded_claim"])) & ~evidence.rlike(_A["excluded_fact"]), _claim(F.lit("対象外経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象外経費を裏付ける根拠がありません。")),
+        (brief.rlike(text.skipping(_A["industry_claim"])) & ~evidence.rlike(_A["industry_claim"]), _claim(F.lit("対象者・対象業種の根拠がない"), "unsupported", "suppliedFacts に本文の対象者・対象業種を裏付ける根拠がありません。")),
+        (brief.rlike(text.skipping(_A["expense_claim"])) & ~evidence.rlike(_A["expense_claim"]), _claim(F.lit("対象経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象経費を裏付ける根拠がありません。")),
+        (brief.rlike(text.skipping(_A["excluded_claim"])) & ~evidence.rlike(_A["excluded_fact"]), _claim(F.lit("対象外経費の根拠がない"), "unsupported", "suppliedFacts に本文の対象外経費を裏付ける根拠がありません。")),
         ((fiction != "") & ~F.contains(evidence, fiction), _claim(F.concat(F.lit("架空・仮名の事例が含まれています: "), fiction), "unsupported", "suppliedFacts にない企業名、導入事例、試算金額は公開本文へ追加できません。")),
     ]
     return F.array_distinct(F.concat(text.bound(tight(evidence), judge), F.array_compact(F.array(*[F.when(hit, claim) for hit, claim in more]))))

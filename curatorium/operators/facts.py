@@ -180,7 +180,7 @@ def _joined(old: Column, pasted: Column, block: Column, title: Column, content:
     kept = begun["confirmed"] | (begun["safe_description"] != "")
     start = F.when(kept, begun).otherwise(F.struct(F.lit(False).alias("confirmed"), F.lit("").alias("allowed_from"), told.alias("safe_description"), F.lit("").alias("source_id")))
     changed = {
-        "article_type": article_type(kind, title, everything, F.coalesce(category, F.lit(""))), "program_kind": program_kind(F.when(old["program_kind"] == "other", "").otherwise(old["program_kind"]), title, everything), "official_name": either("official_name", labelled(block, "タイトル")),
+        "article_type": article_type(kind, title, everything, F.coalesce(category, F.lit(""))), "program_kind": program_kind(F.when(old["program_kind"] == "other", "").otherwise(old["program_kind"]), title, text.condensed(everything)), "official_name": either("official_name", labelled(block, "タイトル")),
         "administering_body": either("administering_body", labelled(block, "機関"), labelled(pasted, "実施機関")), "subsidy_rate": either("subsidy_rate", labelled(block, "補助率")), "subsidy_cap": either("subsidy_cap", labelled(block, "上限")),
         "application_deadline": either("application_deadline", labelled(block, "締切")), "eligible_applicants": unique(F.concat(old["eligible_applicants"], fact_list(labelled(block, "対象")))),
         "eligible_expenses": unique(F.concat(old["eligible_expenses"], fact_list(labelled(block, "経費")))), "pre_start": start, "official_sources": sources,

@@ -88,10 +88,10 @@ def _claimed(articles: DataFrame) -> DataFrame:
     given = {c: get(c) for c in ("source_text", "subsidies_text", "instructions", "memo", "category", "article_type", "subsidy_id")} | {"title": F.col("_title"), "content": F.col("_html")}
     if "facts" in have:
         given["facts"] = F.col("facts")
-    rows = once(rows, {"_read": facts.from_texts(given)})
-    f, body, title = F.col("_read"), F.col("_body"), F.col("_title")
+    rows = once(rows, {"_read": facts.from_texts(given), "_brief": text.condensed(F.col("_body"))})
+    f, body, brief, title = F.col("_read"), F.col("_body"), F.col("_brief"), F.col("_title")
     kind = facts.article_type(F.when(facts.present(get("article_type")).isin("", "column"), f["article_type"]).otherwise(get("article_type")), title, body, get("category"))
-    rows = once(rows, {"_facts": facts.replaced(f, article_type=kind, program_kind=facts.program_kind(f["program_kind"], title, body))})
+    rows = once(rows, {"_facts": facts.replaced(f, article_type=kind, program_kind=facts.program_kind(f["program_kind"], title, brief))})
     f = F.col("_facts")
     links = F.regexp_extract_all("_html", F.lit(r"""(?i)<a\s+[^>]*href=["']([^"']+)["'][^>]*>"""), 1)
     rows = once(rows, {"_length": F.length(text.tight(body)), "_links": links, "_evidence": facts.evidence_text(f), "_missing": facts.missing(f, title), "_official": facts.usable_source(f)})
@@ -100,7 +100,7 @@ def _claimed(articles: DataFrame) -> DataFrame:
     return once(
         rows,
         {
-            "_claims": claims.factual(title, body, f, F.col("_evidence")), "_own": own, "_away": F.size(F.filter("_links", lambda h: h.rlike("(?i)^https?://") & ~h.rlike(lexicon.PORTAL_HOST))),
+            "_claims": claims.factual(title, body, f, F.col("_evidence"), brief), "_own": own, "_away": F.size(F.filter("_links", lambda h: h.rlike("(?i)^https?://") & ~h.rlike(lexicon.PORTAL_HOST))),
             "_astray": facts.unique(F.filter(F.transform(own, path), lambda p: ~p.rlike(lexicon.PORTAL_PATHS))),
             **{f"_n_{tag}": F.regexp_count("_html", F.lit(rf"(?i)<{tag}[\s>]")) for tag in ("h2", "table")}, "_cells": F.col("_html").rlike(r"(?i)<th[\s>]|<td[\s>]"),
         },
@@ -119,10 +119,10 @@ def measured(articles: DataFrame) -> DataFrame:
     """
     have = set(articles.columns)
     get = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
-    rows, body, title = _claimed(articles), F.col("_body"), F.col("_title")
+    rows, brief, title = _claimed(articles), F.col("_brief"), F.col("_title")
     in_body = ("year", "amount", "money", "official", "checked", "deadline_detail", "round", "implementer", "study_detail", "equipment", "definite", "risky", "local", "contract", "target", "expense", "excluded", "action", "project", "conditions", "start", "single", "method")
     in_title = ("year", "amount", "deadline", "offering", "generic", "rate_title", "cap_title", "any_amount_title")
-    tests = {f"body_{n}": body.rlike(text.skipping(_A[n])) for n in in_body} | {f"title_{n}": title.rlike(_A[n]) for n in in_title} | {"memo": F.col("_html").rlike(_A["memo"]), "checklist": F.col("_html").rlike(_A["checklist"]), "study": F.concat_ws(" ", title, body).rlike(_A["study"])}
+    tests = {f"body_{n}": brief.rlike(text.skipping(_A[n])) for n in in_body} | {f"title_{n}": title.rlike(_A[n]) for n in in_title} | {"memo": F.col("_html").rlike(_A["memo"]), "checklist": F.col("_html").rlike(_A["checklist"]), "study": F.concat_ws(" ", title, brief).rlike(_A["study"])}
     human = F.coalesce(F.col("human_reviewed"), F.lit(False)) if "human_reviewed" in have else F.lit(False)
     return once(rows, {"_seen": F.struct(*[c.alias(n) for n, c in tests.items()]), "_unsupported": claims.of_status(F.col("_claims"), "unsupported"), "_contradictory": claims.of_status(F.col("_claims"), "contradictory"), "_human": human, "_category": facts.present(get("category"))})
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from curatorium.functions import expenses, text
+from curatorium.functions import expenses, lexicon, text
 from curatorium.operators import dedupe, facts, pages, review
 from curatorium.plans import articles, content, golden, web
 
@@ -39,6 +40,31 @@ def test_expressions_that_skip_ascii_find_the_same(spark):
     assert text.skipping("補助|上限") != "補助|上限" and text.skipping("補助|abc") == "補助|abc" and text.skipping("補?助|x") == "補?助|x"
 
 
+_ON_BRIEF = (
+    "year", "amount", "money", "official", "checked", "deadline_detail", "round", "implementer", "study", "study_detail", "equipment", "definite", "risky", "local", "contract", "target", "expense", "excluded", "action", "project", "conditions", "start", "single", "method",
+    "industry_claim", "expense_claim", "excluded_claim", "fiction", "number_claim",
+)
+
+
+def test_condensed_texts_have_the_same_matches(spark):
+    """Stretches without digits and Japanese are cut to their ends, and every expression that is tried on such a text finds there what it finds in the whole."""
+    draw = random.Random(3)
+    signs = ["補助率", "上限額", "契約", "申請前", "必ず", "対象", "です", "導入効果", "円", "3分の1", "20%", "2026年", "2026-03", "5 / 7", "株式会社A社", "FS調査", "令和8年度", "中古品"]
+    idle = lambda n: "".join(draw.choices("abcdefgh ,.éß𠮷"[:14] + "😀", k=n))
+    told = ["".join(draw.choice(signs) + idle(draw.choice((0, 1, 3, 11, 12, 13, 23, 24, 25, 39, 40, 41, 59, 60, 61, 62, 89, 90, 91, 120, 179, 181, 400))) for _ in range(draw.randrange(1, 9))) for _ in range(600)]
+    told += ["", "a" * 90, "a" * 91, "a" * 5000, "ab ." * 750 + "円", "円" + "ab ." * 750, "FS" + idle(500) + "FS調査"]
+    rows = spark.createDataFrame([(t,) for t in told], "t string")
+    found = lambda c: [F.regexp_extract_all(c, F.lit(f"({lexicon.ARTICLE[n]})"), 1).alias(n) for n in _ON_BRIEF]
+    whole, brief = (rows.select(*found(c)).collect() for c in (F.col("t"), text.condensed(F.col("t"))))
+    assert whole == brief and all(any(r[n] for r in whole) for n in ("definite", "contract", "fiction", "number_claim", "risky"))
+    short = [r[0] for r in rows.select(text.condensed(F.col("t"))).collect()]
+    assert max(len(x) for s in short for x in re.findall(r"[^0-9%/<>\u2e80-\U0010ffff-]+", s)) <= 180 and sum(map(len, short)) < sum(map(len, told))
+
+
+def test_program_kinds_need_a_sign_that_condensed_texts_keep():
+    assert all(re.search("[⺀-￿]", part) for _, pattern in lexicon.PROGRAM_KIND_WORDS for part in pattern.split("|"))
+
+
 def test_pieces_of_an_article_take_one_pass(spark):
     """The pieces that substrings would give, without counting each off from the beginning."""
     told = ["", "a" * 13, "a" * 14, "".join(chr(97 + i * i % 26) for i in range(101)), "".join(chr(97 + i * i % 23) for i in range(100)), "𠮷補助𠮷" * 9, "x" * 20000]
